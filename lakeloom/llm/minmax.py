@@ -2,9 +2,9 @@
 half the permutations give the whole signature.
 
 Documents with equal shingle sets are one class from the start. Classes that share a band of signature values share a
-bucket. A bucket is never turned into all its pairs: its members are compared with one centre, linked ones are joined
-to components, and only members of different components are compared further, with new centres while that pays, then
-each with each. So no link that would join two components is lost, and copies cost one comparison each.
+bucket. A bucket is never turned into all its pairs: its members are compared with one centre. Those linked with it are
+joined by that, and for the others an exact bound on what they have in common besides tells whom they can be linked
+with. So no link that would join two components is lost, and copies cost one comparison each.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", p
 SETS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
 #: Places in the map of documents whose sets are wanted: a broadcast of this fixed size in bits.
 MAP_PLACES = 1 << 22
-#: Rounds with new centres before the rest is compared each with each.
-CENTRE_ROUNDS = 6
+#: Members of a centre that are compared in one block, and tokens of their residuals at once.
+BLOCK_ROWS, BLOCK_TOKENS = 512, 4096
 #: Shingles that are hashed together.
 BATCH_SHINGLES = 1 << 18
 #: Word hashes kept by a worker.
@@ -129,23 +129,114 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return docs.filter("doc_id is not null").withColumn("place", place).mapInArrow(run, "id long, n long, shingles binary").filter("n > 0")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets have 100 * intersection >= percent * union."""
+def _against_centre(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of each pair (c, id) of a centre and a member: n and nc (set sizes), linked, missing and extra (the centre's
+    shingles that the member lacks, and those that it has besides)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
+            linked, missing, extra = [], [], []
+            for x, y in zip(batch.column("sx"), batch.column("sc"), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = np.sort(np.concatenate([x, y]))
-                same = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * same >= percent * (len(both) - same))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
+                both = np.concatenate([x, y])
+                order = np.argsort(both, kind="stable")
+                both = both[order]
+                same = np.zeros(len(both), bool)
+                same[1:] = both[1:] == both[:-1]
+                shared = int(same.sum())
+                same[:-1] |= same[1:]
+                alone, of_x = both[~same], order[~same] < len(x)
+                linked.append(100 * shared >= percent * (len(both) - shared))
+                missing.append(alone[~of_x].view(np.int64))
+                extra.append(alone[of_x].view(np.int64))
+            tokens = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("c", "id", "n", "nc")), pa.array(linked, pa.bool_()), pa.array(missing, tokens), pa.array(extra, tokens)], names=["c", "id", "n", "nc", "linked", "missing", "extra"])
+
+    x = sets.select("id", "n", F.col("shingles").alias("sx"))
+    c = sets.select(F.col("id").alias("c"), F.col("n").alias("nc"), F.col("shingles").alias("sc"))
+    return pairs.join(x, "id").join(c, "c").mapInArrow(run, "c long, id long, n long, nc long, linked boolean, missing array<long>, extra array<long>")
+
+
+def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Number of tokens that each of x has in common with each of y."""
+    (fx, rx), (fy, ry) = ((np.concatenate(v), np.repeat(np.arange(len(v)), [len(t) for t in v])) for v in (x, y))
+    both = np.intersect1d(fx, fy)
+    out = np.zeros((len(x), len(y)), np.float32)
+    for k in range(0, len(both), BLOCK_TOKENS):
+        part = both[k : k + BLOCK_TOKENS]
+        grids = []
+        for flat, rows, n in ((fx, rx, len(x)), (fy, ry, len(y))):
+            at = np.minimum(np.searchsorted(part, flat), len(part) - 1)
+            hit = part[at] == flat
+            grid = np.zeros((n, len(part)), np.float32)
+            grid[rows[hit], at[hit]] = 1
+            grids.append(grid)
+        out += grids[0] @ grids[1].T
+    return out.astype(np.int64)
+
+
+def _forest(pairs: np.ndarray) -> list[tuple[int, int]]:
+    """Those of the pairs (a, b) that join what was apart before."""
+    up: dict[int, int] = {}
+
+    def root(k: int) -> int:
+        while (to := up.get(k, k)) != k:
+            up[k] = up.get(to, to)
+            k = to
+        return k
+
+    out = []
+    for a, b in pairs.tolist():
+        u, v = root(a), root(b)
+        if u != v:
+            up[u] = v
+            out.append((a, b))
+    return out
+
 
-    a = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-    b = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    near = pairs.join(a, "a").join(b, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return near.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+def _beside_centre(found: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of one centre, one of which at least isn't linked with the centre; of links that
+    form a circle one may be missing.
+
+    Let x be such a member and y another one. Both are told by what they lack of the centre and have besides, and
+    these residuals, which are short for near copies, give their similarity exactly. With none in common, y is no
+    nearer to x than the centre is; the least overlap follows from the sizes, and a member whose whole residual is
+    shorter can't be linked. The others are compared in blocks of bounded size, as products of token matrices."""
+    t = percent
+    less, more = F.size("missing"), F.size("extra")
+    need = F.floor((100 * less + t * more) / (100 + t)) + 1
+    own = F.when(F.col("linked"), 0).otherwise(F.ceil((t * (F.col("n") + F.col("nc")) - (100 + t) * (F.col("n") - more)) / (100 + t)))
+    able = found.filter(less + more >= F.greatest(need, own))
+    sizes = able.groupBy("c").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("ny"), F.ceil(F.count_if(~F.col("linked")) / BLOCK_ROWS).cast("int").alias("nx"), F.count("*").alias("m")).filter("m > 1 and nx > 0").drop("m")
+    rest = able.join(sizes, "c")
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    columns = ["c", "id", "n", "nc", "missing", "extra"]
+    all_blocks = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = rest.filter(~F.col("linked")).select(*columns, F.lit(0).alias("side"), place("nx").alias("xb"), all_blocks("ny").alias("yb"))
+    y = rest.select(*columns, F.lit(1).alias("side"), all_blocks("nx").alias("xb"), place("ny").alias("yb"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        side, ids, n, nc = (table.column(c).to_numpy() for c in ("side", "id", "n", "nc"))
+
+        def lists(column: str) -> list[np.ndarray]:
+            c = table.column(column).chunk(0)
+            flat, at = c.flatten().to_numpy(), np.concatenate([[0], np.cumsum(c.value_lengths().to_numpy())])
+            return [flat[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+        missing, extra = lists("missing"), lists("extra")
+        lack = np.array([len(v) for v in missing])
+        i, j = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        pairs = []
+        if len(i) and len(j):
+            tokens = [np.concatenate([~a, b]) for a, b in zip(missing, extra, strict=True)]
+            shared = nc[0] - lack[i][:, None] - lack[j][None, :] + _overlaps([tokens[k] for k in i], [tokens[k] for k in j])
+            near = 100 * shared >= t * (n[i][:, None] + n[j][None, :] - shared)
+            r, c = np.nonzero(near & (ids[i][:, None] != ids[j][None, :]))
+            pairs = _forest(np.stack([ids[i][r], ids[j][c]], axis=1))
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+
+    return x.union(y).groupBy("c", "xb", "yb").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 30, rows: int = 5) -> DataFrame:
@@ -178,33 +269,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
 
 
 def _join(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Components of the classes in buckets: members has key, id, n."""
-    near = 100 * F.least("n", "cn") >= percent * F.greatest("n", "cn")
-    centres = members.groupBy("key").agg(F.min("id").alias("c"), F.min_by("n", "id").alias("cn"))
-    pairs = members.join(centres, "key").filter("id <> c").filter(near)
-    tried = materialize(pairs.select(F.greatest("id", "c").alias("a"), F.least("id", "c").alias("b")).distinct(), "pairs")
-    links = materialize(_linked(tried, sets, percent), "confirmed")
-    for round_ in range(CENTRE_ROUNDS + 1):
-        parts = connected_components(links)
-        seen = members.join(parts, "id", "left").select("key", "id", "n", F.coalesce("component_id", "id").alias("part"))
-        by_part = seen.groupBy("key", "part").agg(F.count("*").alias("m"))
-        open_ = by_part.groupBy("key").agg(F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("q")).filter("s * s > q")
-        open_ = materialize(open_.withColumn("cross", ((F.col("s") * F.col("s") - F.col("q")) / 2).cast("long")), "open buckets")
-        cross, size = open_.agg(F.coalesce(F.sum("cross"), F.lit(0)), F.coalesce(F.sum("s"), F.lit(0))).first()
-        if not cross:
-            return parts
-        rest = materialize(seen.join(open_.select("key"), "key"), "open members")
-        if cross <= 2 * size or round_ == CENTRE_ROUNDS:
-            other = rest.select("key", F.col("id").alias("c"), F.col("n").alias("cn"), F.col("part").alias("cpart"))
-            pairs = rest.join(other, "key").filter("part < cpart").filter(near)
-        else:
-            h = F.xxhash64(F.lit(round_), F.col("id"))
-            centres = rest.groupBy("key").agg(F.min_by("id", h).alias("c"), F.min_by("n", h).alias("cn"), F.min_by("part", h).alias("cpart"))
-            pairs = rest.join(centres, "key").filter("part <> cpart").filter(near)
-        new = pairs.select(F.greatest("id", "c").alias("a"), F.least("id", "c").alias("b")).distinct()
-        new = materialize(new.join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = materialize(links.union(_linked(new, sets, percent)), "confirmed")
-        tried = tried.union(new)
-        if cross <= 2 * size or round_ == CENTRE_ROUNDS:
-            return connected_components(links)
-    raise AssertionError
+    """Components of the classes in buckets: members has key and id. A bucket's centre is the member that stands with
+    most others in its buckets."""
+    many = members.groupBy("key").agg(F.count("*").alias("m"))
+    degree = members.join(many, "key").groupBy("id").agg(F.sum("m").alias("degree"))
+    rank = F.shiftleft("degree", 20) + F.pmod(F.xxhash64("id"), F.lit(1 << 20))
+    ranked = materialize(members.join(degree.select("id", rank.alias("rank")), "id").select("key", "id", "rank"), "ranked buckets")
+    centres = ranked.groupBy("key").agg(F.max_by("id", "rank").alias("c"))
+    pairs = ranked.join(centres, "key").filter("id <> c").select("c", "id").distinct()
+    found = materialize(_against_centre(pairs, sets, percent), "against centres")
+    direct = found.filter("linked").select(F.col("c").alias("a"), F.col("id").alias("b"))
+    return connected_components(direct.union(_beside_centre(found, percent)))
