@@ -32,13 +32,11 @@ def vector_topk(vectors: DataFrame, query: DataFrame, k: int, key: str = "vec_id
 def bm25(docs: DataFrame, terms: list[str], require_all: bool = False) -> DataFrame:
     """doc_id and score of documents with one (or all) of the terms. Statistics cover the whole collection; only the terms'
     postings are shuffled, one row for each document that has one."""
-    t = docs.select("doc_id", tokens(F.col("text")).alias("tk"))
 
-    def frequency(term: str) -> Column:
-        return F.size(F.filter("tk", lambda x: x == term))
+    def occurrences(term: str) -> Column:
+        return F.regexp_count("text", F.lit(rf"(?<![\p{{L}}\p{{N}}])\Q{term}\E(?![\p{{L}}\p{{N}}])"))
 
-    tf = [frequency(w).alias(f"tf{i}") for i, w in enumerate(terms)]
-    t = t.select("doc_id", F.size("tk").alias("len"), *tf)
+    t = docs.select("doc_id", F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+")).alias("len"), *[occurrences(w).alias(f"tf{i}") for i, w in enumerate(terms)])
     stats = t.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     score = sum((F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("len") / F.col("avgdl"))) for i in range(len(terms))), F.lit(0.0))
     has = [F.col(f"tf{i}") > 0 for i in range(len(terms))]
@@ -50,10 +48,8 @@ def bm25(docs: DataFrame, terms: list[str], require_all: bool = False) -> DataFr
 
 def phrase(docs: DataFrame, words: list[str]) -> DataFrame:
     """doc_id of documents in which the words follow one another."""
-    t = docs.select("doc_id", tokens(F.col("text")).alias("tk"))
-    at = F.sequence(F.lit(1), F.size("tk") - len(words) + 1)
-    found = F.exists(at, lambda i: F.slice("tk", i, len(words)) == F.array(*map(F.lit, words)))
-    return t.filter(F.size("tk") >= len(words)).filter(found).select("doc_id")
+    joined = F.concat(F.lit(" "), F.array_join(tokens(F.col("text")), " "), F.lit(" "))
+    return docs.filter(F.contains(joined, F.lit(f" {' '.join(words)} "))).select("doc_id")
 
 
 def snippet(text: Column, term: str, width: int = 80) -> Column:
