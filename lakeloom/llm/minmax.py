@@ -25,11 +25,11 @@ SETS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary(
 #: Places in the map of documents whose sets are wanted: a broadcast of this fixed size in bits.
 MAP_PLACES = 1 << 22
 #: Members of a centre that are compared in one block, and tokens of their residuals at once.
-BLOCK_ROWS, BLOCK_TOKENS = 512, 4096
+BLOCK_ROWS, BLOCK_TOKENS = 512, 2048
 #: Shingles that are hashed together.
 BATCH_SHINGLES = 1 << 18
 #: Word hashes kept by a worker.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 200_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
