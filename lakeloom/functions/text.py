@@ -117,3 +117,42 @@ def tensor_header(data: bytes) -> list[tuple[str, str, list[int], int, int]]:
         raise ValueError("short header")
     head = json.loads(data[8 : 8 + n])
     return [(k, v["dtype"], v["shape"], 8 + n + v["data_offsets"][0], 8 + n + v["data_offsets"][1]) for k, v in sorted(head.items()) if k != "__metadata__"]
+
+
+def zarr_text(data: bytes) -> str:
+    """Keys and strings of the array, group and attribute descriptions in a zip archive, or of a bare JSON description."""
+    if data[:1] == b"{":
+        return _json_text(data.decode("utf-8", "replace"))
+    try:
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            wanted = [n for n in z.namelist() if n.endswith((".zarray", ".zattrs", "zarr.json"))]
+            return " ".join(filter(None, (_json_text(z.read(n).decode("utf-8", "replace")) for n in wanted)))
+    except (zipfile.BadZipFile, zlib.error):
+        return ""
+
+
+def _json_text(text: str) -> str:
+    try:
+        return " ".join(json_strings(json.loads(text)))
+    except ValueError:
+        return text
+
+
+#: Extractors of binary formats, by suffix; files of other suffixes are read as UTF-8 or have no text.
+BINARY = {"docx": office_text, "xlsx": office_text, "pptx": office_text, "pdf": pdf_text, "zarr": zarr_text}
+
+
+def extract_binary(content: Column, suffix: str) -> Column:
+    """Text of files of a binary format; null content has none."""
+    f = BINARY[suffix]
+    return F.pandas_udf(lambda s: s.map(lambda b: "" if b is None else f(bytes(b))), "string")(content)
+
+
+def extract_json_lines(text: Column) -> Column:
+    """extract_jsonl() of each text."""
+    return F.pandas_udf(lambda s: s.map(lambda t: None if t is None else extract_jsonl(t)), "string")(text)
+
+
+def utf8(content: Column) -> Column:
+    """Bytes as text; what is no UTF-8 becomes U+FFFD."""
+    return F.make_valid_utf8(content.cast("string"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -80,3 +80,28 @@ def normal_path(path: Column) -> Column:
     p = F.regexp_replace(F.regexp_replace(path, r"\\", "/"), "/+", "/")
     p = F.when(p == "/", p).otherwise(F.regexp_replace(p, "/$", ""))
     return F.when(p.startswith("/") & ~p.rlike(r"(^|/)\.{1,2}(/|$)"), p)
+
+
+def delete_chunks(chunks: DataFrame, gone: DataFrame) -> DataFrame:
+    """chunks without those whose hash is in gone."""
+    return chunks.join(gone.select("hash"), "hash", "left_anti")
+
+
+def commit(commits: DataFrame, heads: DataFrame) -> DataFrame:
+    """commits with one more on each head. heads: author, head, and the new commit's hash and ts."""
+    return commits.unionByName(heads.select("hash", F.col("head").alias("parent"), "author", "ts"))
+
+
+def branch_results(branches: DataFrame, operations: DataFrame, current: str) -> DataFrame:
+    """operations (op, name) with result: ok, exists (create of a branch that is there), missing (delete of one that is
+    not) or current (delete of the branch that HEAD points at)."""
+    j = operations.join(branches.select("name", F.lit(True).alias("there")), "name", "left")
+    there = F.col("there").isNotNull()
+    create = F.when(there, "exists").otherwise("ok")
+    delete = F.when(F.col("name") == current, "current").when(there, "ok").otherwise("missing")
+    return j.select("op", "name", F.when(F.col("op") == "create", create).otherwise(delete).alias("result"))
+
+
+def empty_store(spark: SparkSession) -> DataFrame:
+    """The one row of a new store: its root, the root's content id, and the branch that HEAD points at."""
+    return spark.range(1).select(F.lit("/").alias("path"), F.lit("dir").alias("kind"), F.sha2(F.lit(""), 256).alias("hash"), F.lit("main").alias("branch"))

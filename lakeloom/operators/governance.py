@@ -105,3 +105,27 @@ def rack_aware(chains: DataFrame, n: int) -> DataFrame:
     in_rack = F.row_number().over(Window.partitionBy("rack").orderBy("id"))
     order = F.row_number().over(Window.orderBy("nth", "id"))
     return chains.withColumn("nth", in_rack).withColumn("place", order).filter(F.col("place") <= n).select("place", "id", "rack")
+
+
+def append_audit(log: DataFrame, new: DataFrame, body: list[str]) -> DataFrame:
+    """Chained entries for new (n from 0 without gaps, and the body without seq) after the last one of log (seq, hash). The
+    entry before is found by an equi-join, so the chain needs no single task."""
+    tail = log.agg(F.max("seq").alias("last"), F.max_by("hash", "seq").alias("last_hash"))
+    e = new.crossJoin(F.broadcast(tail)).withColumn("seq", F.coalesce("last", F.lit(-1)) + 1 + F.col("n"))
+    e = e.withColumn("hash", audit_hash(*body))
+    before = e.select((F.col("n") + 1).alias("n"), F.col("hash").alias("before"))
+    prev = F.coalesce("before", F.when(F.col("n") == 0, F.col("last_hash")), F.lit("genesis"))
+    return e.join(before, "n", "left").select(*body, "hash", prev.alias("prev_hash"))
+
+
+def workload_bytes(kind: Column, size: Column, count: Column, percent: Column) -> Column:
+    """Bytes that a workload touches, about: size in MiB, count of files or operations, percent changed."""
+    mib = F.lit(1 << 20)
+    out = F.when(kind.isin("sequential", "write-heavy"), size * mib).when(kind == "random-read", count * size * mib)
+    out = out.when(kind == "mixed", 512 * mib).when(kind == "metadata-storm", count * 256)
+    return out.when(kind == "checkpoint-delta", F.floor(size * mib * percent / 100)).cast("long")
+
+
+def bytes_fraction(used: Column, most: Column) -> Column:
+    """Share of the quota in use; 0 without a limit."""
+    return F.when(most == 0, 0.0).otherwise(used / most)

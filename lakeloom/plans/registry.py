@@ -43,11 +43,18 @@ def query(sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    """Let the modules that import this one register their queries."""
+    from lakeloom.plans import stores  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
 
 

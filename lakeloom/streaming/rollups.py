@@ -14,15 +14,20 @@ def stream_rollup(events: DataFrame, width: str = "1 hour", late: str = "1 hour"
     return e.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.unix_millis("w.start").alias("bucket"), "event_type", "n")
 
 
-def upsert_into(path: str, key: str):
-    """A foreachBatch function that keeps the last row of each key in a Parquet table, written anew in another folder."""
+def upsert_into(path: str, key: str, order: str | None = None):
+    """A foreachBatch function that keeps one row of each key in a Parquet table, written anew in another folder: that with
+    the greatest `order`, or else any of the newest batch. A batch that is run again gives the same table."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates([key])
-        if epoch:
-            old = spark.read.parquet(f"{path}/{epoch - 1}")
-            new = old.join(new.select(key), key, "left_anti").unionByName(new)
+        old = spark.read.parquet(f"{path}/{epoch - 1}") if epoch else None
+        if order:
+            rows = batch if old is None else old.unionByName(batch)
+            new = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
+        else:
+            new = batch.dropDuplicates([key])
+            if old is not None:
+                new = old.join(new.select(key), key, "left_anti").unionByName(new)
         new.write.mode("overwrite").parquet(f"{path}/{epoch}")
 
     return write

@@ -12,6 +12,7 @@ from lakeloom.operators import content as C
 from lakeloom.operators import governance as G
 from lakeloom.operators import lineage as L
 from lakeloom.operators import search as S
+from lakeloom.sources import connectors as K
 from lakeloom.streaming import rollups as R
 
 
@@ -120,3 +121,37 @@ def test_streams(spark, tmp_path):
     q.stop()
     last = spark.read.parquet(str(tmp_path / "up" / "2"))
     assert last.count() == events.select("user_id").distinct().count()
+
+
+def test_sources(spark, tmp_path):
+    assert K.parse_source("s3://b/x/y") == K.Source("s3", "b", "x/y") and K.parse_source("gcs://b") == K.Source("gcs", "b", "")
+    assert K.parse_source("git-lfs://host/r#dev").path == "dev" and K.parse_source("git-lfs://host/r").path == "main"
+    assert K.parse_source("/a/b") == K.parse_source("file:///a/b") == K.Source("file", "/", "/a/b")
+    with pytest.raises(ValueError):
+        K.parse_source("ftp://x")
+    for n in "cab":
+        (tmp_path / f"{n}.bin").write_bytes(n.encode() * 3)
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "d.bin").write_bytes(b"d")
+    assert [tuple(r) for r in K.list_files(spark, str(tmp_path)).select("name", "size").collect()] == [("a.bin", 3), ("b.bin", 3), ("c.bin", 3)]
+    assert K.list_files(spark, str(tmp_path), 2).count() == 2 and bytes(K.fetch(spark, str(tmp_path / "c.bin")).first()["content"]) == b"ccc"
+    K.append_jsonl(spark.range(3), str(tmp_path / "log"))
+    K.append_jsonl(spark.range(3, 5), str(tmp_path / "log"))
+    (tmp_path / "log" / "bad.json").write_text('{"id": 9}\n\n{"id": \nno json\n')
+    assert sorted(r[0] for r in K.read_jsonl(spark, str(tmp_path / "log"), "id long").collect()) == [0, 1, 2, 3, 4, 9]
+
+
+def test_audit_append_to_empty_log(spark):
+    log = spark.createDataFrame([], "seq long, hash string")
+    got = G.append_audit(log, spark.range(2).withColumnRenamed("id", "n").withColumn("what", F.lit("x")), ["seq", "what"]).orderBy("seq").collect()
+    assert [r["seq"] for r in got] == [0, 1] and got[0]["prev_hash"] == "genesis" and got[1]["prev_hash"] == got[0]["hash"]
+
+
+def test_zarr_and_limits(spark):
+    b = io.BytesIO()
+    with zipfile.ZipFile(b, "w") as z:
+        z.writestr("a/.zarray", '{"dtype": "<f4"}')
+        z.writestr("a/0.0", "chunk")
+    assert T.zarr_text(b.getvalue()) == "dtype <f4" and T.zarr_text(b'{"zarr_format": 3}') == "zarr_format" and T.zarr_text(b"PKjunk") == "" and T.zarr_text(b"") == ""
+    assert spark.range(1).select(G.bytes_fraction(F.lit(3), F.lit(0)), G.bytes_fraction(F.lit(3), F.lit(6))).first() == (0.0, 0.5)
+    assert one(spark, lambda c: T.utf8(F.unhex(c)), "41FF42") == ["A\ufffdB"]
