@@ -173,7 +173,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         mixer, names = _OPEN[key], shared.value.languages
         for batch in batches:
             lists = [words_of(t) for t in texts(batch)]
-            some = [i for i, x in enumerate(lists) if x and names and (len(x) > 8 or any(map(str.isalpha, "".join(x))))]
+            some = [i for i, x in enumerate(lists) if names and any(c.isalpha() for w in x for c in w)]
             lang, score, several = ["und"] * len(lists), [0.0] * len(lists), [[] for _ in lists]
             at = 0
             while at < len(some):

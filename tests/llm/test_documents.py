@@ -89,6 +89,12 @@ def test_language_odd(odd, none):
     assert {r[0] for r in rows(langid.predict(odd, langid.learn(none)), "lang_pred")} == {"und"}
 
 
+def test_language_without_letters(spark, docs):
+    texts = spark.createDataFrame([(1, "½ " * 20), (2, "½ " * 20 + "the"), (3, "1 2 - _ " * 9)], "doc_id long, text string")
+    got = dict(rows(langid.predict(texts, langid.learn(docs)), "doc_id", "lang_pred"))
+    assert got[1] == got[3] == "und" and got[2] != "und"
+
+
 def test_language_mixture(docs):
     model = langid.learn(docs)
     text = {k: [] for k in ("en", "de")}
