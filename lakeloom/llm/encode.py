@@ -7,6 +7,8 @@ import re
 import unicodedata
 from array import array
 
+from lakeloom.llm.runtime import worker_state
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces kept by a worker; beyond this many the memory starts anew.
@@ -16,7 +18,6 @@ _RUN = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 #: Characters that not every library holds to be white space, or that are white space below PLAIN.
 _ODD_SPACE = re.compile(r"[\x09\x0b-\x0d\x1c-\x1f\x85\xa0]")
-_OPEN: dict[str, "PieceEncoder"] = {}
 
 #: How the two kinds of vocabulary divide a piece before merging, as their files state.
 SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -100,6 +101,4 @@ class PieceEncoder:
 
 def encoder(path: str) -> PieceEncoder:
     """The worker's encoder for a vocabulary file."""
-    if path not in _OPEN:
-        _OPEN[path] = PieceEncoder(path)
-    return _OPEN[path]
+    return worker_state(("encoder", path), lambda: PieceEncoder(path))

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from lakeloom.llm.encode import byte_letters
-from lakeloom.llm.runtime import record, small_batches, texts
+from lakeloom.llm.runtime import record, small_batches, texts, worker_state
 
 ROWS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
@@ -276,14 +276,9 @@ class TokenCounter:
         return total + np.bincount(text, weights=counted, minlength=len(batch)).astype(np.int64)
 
 
-_OPEN: dict[str, TokenCounter] = {}
-
-
 def counter(path: str) -> TokenCounter:
     """The worker's counter for a vocabulary file."""
-    if path not in _OPEN:
-        _OPEN[path] = TokenCounter(path)
-    return _OPEN[path]
+    return worker_state(("counter", path), lambda: TokenCounter(path))
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024) -> DataFrame:

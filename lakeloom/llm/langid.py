@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.runtime import record, small_batches, texts
+from lakeloom.llm.runtime import record, small_batches, texts, worker_state
 
 #: Documents of each language, about, from which the model is learnt, chosen by a hash of doc_id.
 LEARN_DOCS = 4000
@@ -153,9 +153,6 @@ class Mixer:
         return theta, np.add.reduceat(np.log(last), first)
 
 
-_OPEN: dict[int, Mixer] = {}
-
-
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, lang_pred, score (the proportion of lang_pred), languages (the selected
     set, the largest share first).
@@ -167,10 +164,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _OPEN:
-            _OPEN.clear()
-            _OPEN[key] = Mixer(shared.value)
-        mixer, names = _OPEN[key], shared.value.languages
+        mixer, names = worker_state(("languages", key), lambda: Mixer(shared.value)), shared.value.languages
         for batch in batches:
             lists = [words_of(t) for t in texts(batch)]
             some = [i for i, x in enumerate(lists) if names and any(c.isalpha() for w in x for c in w)]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.llm.components import connected_components
-from lakeloom.llm.runtime import discard, materialize, record, small_batches, texts
+from lakeloom.llm.runtime import discard, materialize, record, small_batches, texts, worker_state
 
 SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 SETS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
@@ -41,9 +41,6 @@ class _Words(dict):
         return h
 
 
-_WORDS = _Words()
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
@@ -55,7 +52,7 @@ def shingle_set(text: str, k: int) -> np.ndarray:
     words = text.encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    w = np.array(list(map(_WORDS.__getitem__, words)), np.uint64)
+    w = np.array(list(map(worker_state("word hashes", _Words).__getitem__, words)), np.uint64)
     n = min(k, len(w))
     h = np.full(len(w) - n + 1, n, np.uint64)
     for i in range(n):

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +56,19 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+T = TypeVar("T")
+_HELD: dict = {}
+
+
+def worker_state(key: Hashable, make: Callable[[], T]) -> T:
+    """The state that a Python worker keeps between batches and tasks. It keeps that of one operator at a time, since
+    workers live on from one stage of a pipeline to the next: another key's takes its place."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The column's values, null as the empty text."""
     return [x or "" for x in batch.column(column).to_pylist()]
