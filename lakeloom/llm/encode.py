@@ -60,11 +60,14 @@ class PieceEncoder:
     def _whole(self, pieces: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
 
+    def _tokens(self, word: str) -> bytes:
+        shown = word.encode().decode("latin-1").translate(self.letters) if not word.isascii() or word.isspace() else word.replace(" ", self.letters[32])
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
     def _word(self, word: str) -> bytes:
         ids = self.words.get(word)
         if ids is None:
-            shown = word.encode().decode("latin-1").translate(self.letters) if not word.isascii() or word.isspace() else word.replace(" ", self.letters[32])
-            ids = self.words[word] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            ids = self.words[word] = self._tokens(word)
         return ids
 
     def _piece(self, piece: str) -> bytes:
@@ -75,7 +78,9 @@ class PieceEncoder:
         if not piece or "<" in piece or _ODD_SPACE.search(piece):
             return self._whole([piece])[0]
         words = self.divide(piece if self.spaced else piece.lower())
-        return self._word(words[0]) if len(words) == 1 else b"".join(map(self._word, words))
+        if words == [piece] and piece not in self.words:  # it is remembered as a piece, so not a second time as a word
+            return self._tokens(piece)
+        return b"".join(map(self._word, words))
 
     def _learn(self, keys: list[str]) -> None:
         if len(self.known) > REMEMBERED:
