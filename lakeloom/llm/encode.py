@@ -45,13 +45,14 @@ class PieceEncoder:
     A new piece of plain characters is divided by the file's pattern and merged by the library's model; any other new
     piece takes the library's whole way."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.spaced = self.library.encode(" ", add_special_tokens=False).ids != []
+        self.remembered = remembered
         self.known: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.divide = regex.compile(SPACED if self.spaced else DROPPED).findall
@@ -83,9 +84,9 @@ class PieceEncoder:
         return b"".join(map(self._word, words))
 
     def _learn(self, keys: list[str]) -> None:
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.known.clear()
-        if len(self.words) > REMEMBERED:
+        if len(self.words) > self.remembered:
             self.words.clear()
         for key in set(keys).difference(self.known):
             self.known[key] = self._piece(key)
@@ -104,6 +105,6 @@ class PieceEncoder:
             return b"".join(map(self.known.__getitem__, pieces))
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, remembered: int = REMEMBERED) -> PieceEncoder:
     """The worker's encoder for a vocabulary file."""
-    return worker_state(("encoder", path), lambda: PieceEncoder(path))
+    return worker_state(("encoder", path, remembered), lambda: PieceEncoder(path, remembered))

@@ -24,6 +24,8 @@ from lakeloom.llm.runtime import materialize, record, small_batches, texts
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int64()), ("nth", pa.int64())])
 #: Whole sequences of one piece are numbered from here, by task and place in it.
 WHOLE_FROM = 1 << 61
+#: Pieces whose ids a worker keeps.
+REMEMBERED = 450_000
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -135,7 +137,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, capacity: int
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, enc, seen = TaskContext.get().partitionId(), encoder(vocabulary), [0] * (capacity + 1)
+        part, enc, seen = TaskContext.get().partitionId(), encoder(vocabulary, REMEMBERED), [0] * (capacity + 1)
         for batch in batches:
             rows = []
             for key, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
