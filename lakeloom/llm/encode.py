@@ -1,7 +1,12 @@
-"""Token ids of whole texts by the tokenizers library, each distinct white-space piece being encoded once a worker."""
+"""Token ids of whole texts, equal to those of the tokenizers library.
+
+Byte-level vocabularies are merged by tiktoken, which reads the file's own merges and keeps nothing between texts. With
+vocabularies that drop white space, each distinct white-space piece is encoded once a worker. All else goes to the
+tokenizers library itself."""
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -11,11 +16,9 @@ from lakeloom.llm.runtime import worker_state
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pieces kept by a worker; beyond this many the memory starts anew.
+#: Pieces kept by a worker of a PieceEncoder; beyond this many the memory starts anew.
 REMEMBERED = 800_000
 
-_RUN = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_OTHER_SPACE = re.compile(r"[^\S \n]")
 #: Characters that not every library holds to be white space, or that are white space below PLAIN.
 _ODD_SPACE = re.compile(r"[\x09\x0b-\x0d\x1c-\x1f\x85\xa0]")
 
@@ -35,15 +38,50 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class MergeEncoder:
+    """encode(text) for a byte-level vocabulary file, by tiktoken. Both libraries divide by the same pattern and merge the
+    pair that the file ranks first, so the ids agree. Two kinds of texts go to the tokenizers library: those with one
+    of the file's added tokens, and those that tiktoken's pattern can't read for a white-space run of millions."""
+
+    def __init__(self, path: str, said: dict):
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.added = re.compile("|".join(re.escape(x["content"]) for x in said["added_tokens"]) or r"(?!)").search
+        values = {letter: b for b, letter in byte_letters().items()}
+        special = {x["content"] for x in said["added_tokens"]}
+        ranks = {bytes(map(values.__getitem__, k)): v for k, v in said["model"]["vocab"].items() if k not in special}
+        self.core = tiktoken.Encoding("own", pat_str=SPACED, mergeable_ranks=ranks, special_tokens={})._core_bpe
+
+    @staticmethod
+    def reads(said: dict) -> bool:
+        """Whether a vocabulary file's settings are those that tiktoken has too, and its ids rank its merges."""
+        before, model, vocab = said["pre_tokenizer"] or {}, said["model"], said["model"].get("vocab")
+        plain = not said["normalizer"] and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        if not plain or model["type"] != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+            return False
+        made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        letters = set(byte_letters().values())
+        special = {x["content"] for x in said["added_tokens"]}
+        return made == sorted(set(made)) and letters <= vocab.keys() and len(vocab.keys() - special) == len(letters) + len(made)
+
+    def encode(self, text: str) -> bytes:
+        if not self.added(text):
+            try:
+                return bytes(self.core.encode_to_tiktoken_buffer(text, set()))
+            except ValueError:  # the pattern's stack
+                pass
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+
 class PieceEncoder:
     """encode(text) gives the ids as little-endian unsigned 32-bit integers, equal to what the library gives for the
     whole text.
 
-    Tokens never span white space that follows other characters, in vocabularies that attach one space to the next
-    word (spaced) and in those that drop white space. So a text is cut before each run of spaces and line feeds. With
-    spaced, a text with any other white space goes to the library whole, since a mixed run may be divided elsewhere.
-    A new piece of plain characters is divided by the file's pattern and merged by the library's model; any other new
-    piece takes the library's whole way."""
+    Where the vocabulary drops white space, tokens never span it, so a text is cut there. A new piece of plain
+    characters is divided by the file's pattern and merged by the library's model; any other new piece takes the
+    library's whole way. With a vocabulary that keeps white space, each whole text does."""
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         import regex
@@ -55,14 +93,14 @@ class PieceEncoder:
         self.remembered = remembered
         self.known: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
-        self.divide = regex.compile(SPACED if self.spaced else DROPPED).findall
+        self.divide = regex.compile(DROPPED).findall
         self.letters = byte_letters()
 
-    def _whole(self, pieces: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _tokens(self, word: str) -> bytes:
-        shown = word.encode().decode("latin-1").translate(self.letters) if not word.isascii() or word.isspace() else word.replace(" ", self.letters[32])
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _word(self, word: str) -> bytes:
@@ -74,11 +112,11 @@ class PieceEncoder:
     def _piece(self, piece: str) -> bytes:
         if not piece.isascii():
             if max(piece) >= PLAIN:
-                return self._whole([piece])[0]
-            piece = unicodedata.normalize("NFC", piece) if not self.spaced else piece
+                return self._whole(piece)
+            piece = unicodedata.normalize("NFC", piece)
         if not piece or "<" in piece or _ODD_SPACE.search(piece):
-            return self._whole([piece])[0]
-        words = self.divide(piece if self.spaced else piece.lower())
+            return self._whole(piece)
+        words = self.divide(piece.lower())
         if words == [piece] and piece not in self.words:  # it is remembered as a piece, so not a second time as a word
             return self._tokens(piece)
         return b"".join(map(self._word, words))
@@ -92,12 +130,9 @@ class PieceEncoder:
             self.known[key] = self._piece(key)
 
     def encode(self, text: str) -> bytes:
-        if not self.spaced:
-            pieces = text.replace("\n", " ").split(" ")
-        elif _OTHER_SPACE.search(text):
-            return self._whole([text])[0]
-        else:
-            pieces = _RUN.findall(text)
+        if self.spaced:
+            return self._whole(text)
+        pieces = text.replace("\n", " ").split(" ")
         try:
             return b"".join(map(self.known.__getitem__, pieces))
         except KeyError:
@@ -105,6 +140,12 @@ class PieceEncoder:
             return b"".join(map(self.known.__getitem__, pieces))
 
 
-def encoder(path: str, remembered: int = REMEMBERED) -> PieceEncoder:
+def make_encoder(path: str, remembered: int = REMEMBERED) -> MergeEncoder | PieceEncoder:
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    return MergeEncoder(path, said) if MergeEncoder.reads(said) else PieceEncoder(path, remembered)
+
+
+def encoder(path: str) -> MergeEncoder | PieceEncoder:
     """The worker's encoder for a vocabulary file."""
-    return worker_state(("encoder", path, remembered), lambda: PieceEncoder(path, remembered))
+    return worker_state(("encoder", path), lambda: make_encoder(path))

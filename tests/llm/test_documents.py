@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeloom.llm import cdc, components, digest, fst_tokens, langid, minmax, mixing, packing, pfor
-from lakeloom.llm.encode import PieceEncoder
+from lakeloom.llm.encode import MergeEncoder, PieceEncoder, make_encoder
 from lakeloom.llm.queries import vocabulary
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -311,7 +311,7 @@ def test_counts(docs, odd, none):
     for i, t, n, b, over in [r for r in rows(fst_tokens.count_tokens(odd, BYTE).join(odd.select("doc_id", "text"), "doc_id"), "doc_id", "text", "n_tokens", "n_bytes", "over_limit") if r[0] != 6]:
         assert (n, b, over) == (len(lib(t)), len((t or "").encode()), len(lib(t)) > 1024), i
     assert fst_tokens.count_tokens(none, BYTE).count() == 0
-    enc = PieceEncoder(BYTE)
+    enc = make_encoder(BYTE)
     want = {i: len(enc.library.encode(t).ids) for i, t in rows(docs, "doc_id", "text")}
     assert dict(rows(fst_tokens.count_tokens(docs, BYTE), "doc_id", "n_tokens")) == want
 
@@ -320,12 +320,15 @@ def test_transducers_and_pieces_equal_the_library():
     rng = np.random.default_rng(2)
     parts = ["'s", "'re", "'ll", "'", "''", "a", "r", "e", "l", "v", " ", "  ", "\n", "\t", "1", "²", "é", "日本", "!", ".", "<|endoftext|>", "<|startoftext|>", "\x1c", "\xa0", "　", "ſ", "T", "the", "ing", " The", "😀", "́", "ª", "Σ", "İ", "ß"]
     texts = ["".join(rng.choice(parts, rng.integers(0, 14))) for _ in range(8000)] + ["", "a" * 2000, " " * 300, "'re", "'r", "=-" * 100, "\n\n\x1ca", "a\x1fb \x1d\n\n\x1e"]
-    for path in (BYTE, WORDS):
-        enc = PieceEncoder(path)
+    for path, kind in ((BYTE, MergeEncoder), (WORDS, PieceEncoder)):
+        enc = make_encoder(path)
+        assert type(enc) is kind
         want = [e.ids for e in enc.library.encode_batch(texts, add_special_tokens=False)]
         assert [enc.encode(t) for t in texts] == [array("I", x).tobytes() for x in want]
         if path == BYTE:
             assert fst_tokens.TokenCounter(path).count(texts).tolist() == list(map(len, want))
+            long = " " * 3_000_000 + "x"  # more than tiktoken's pattern can read
+            assert enc.encode(long) == array("I", enc.library.encode(long, add_special_tokens=False).ids).tobytes()
 
 
 # 10 -----------------------------------------------------------------------------------------------------------------
