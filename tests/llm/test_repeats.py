@@ -32,3 +32,15 @@ def test_matches_beyond_a_piece(spark):
     out = removed(spark, {1: f"{words(rng, 9)} 1 {body} 2", 2: f"3 {body} 4", 3: "la " * 3000, 4: "la " * 2000 + "end"})
     assert out[2]["text"].split() == ["3", "4"] and len(out[2]["_spans"]) == 1
     assert out[4]["text"].strip() == "end"
+
+
+def test_one_document_holds_the_match(spark):
+    rng, texts, parts = np.random.default_rng(83), {}, []
+    for i in range(200):
+        texts[i] = words(rng, 300)
+        data = texts[i].encode()
+        ends = cdc.cuts(data).tolist()
+        parts += [data[a:b].decode() for a, b in zip(ends, ends[1:], strict=False) if 30 <= b - a <= 60][:1]
+    texts[1000] = "".join(parts)  # of whole chunks, each in another document
+    out = removed(spark, texts)
+    assert len(parts) > 100 and out[1000]["text"] == texts[1000] and not out[1000]["_first_ids"]
