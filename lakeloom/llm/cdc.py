@@ -155,20 +155,19 @@ def matches(data: bytes, sent: list[dict], least: int) -> list[tuple[int, int, i
 
 
 def removed_spans(data: bytes, found: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Byte spans (start, end) of the matches together, widened to whole words; white space before one stays."""
+    """Byte spans (start, end) of the matches together, without parts of characters at their ends; white space before one
+    stays."""
     out = []
     for a, b, _ in found:
-        while 0 < a and data[a] not in _SPACE and data[a - 1] not in _SPACE:
-            a -= 1
-        while b < len(data) and data[b] not in _SPACE and data[b - 1] not in _SPACE:
-            b += 1
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
             out.append((a, b))
     for i, (a, b) in enumerate(out):
-        while 0 < a < b and data[a] in _SPACE:
+        while a < b and (data[a] & 0xC0 == 0x80 or 0 < a and data[a] in _SPACE):
             a += 1
+        while a < b < len(data) and data[b] & 0xC0 == 0x80:
+            b -= 1
         out[i] = a, b
     return [(a, b) for a, b in out if a < b]
 

@@ -44,3 +44,14 @@ def test_one_document_holds_the_match(spark):
     texts[1000] = "".join(parts)  # of whole chunks, each in another document
     out = removed(spark, texts)
     assert len(parts) > 100 and out[1000]["text"] == texts[1000] and not out[1000]["_first_ids"]
+
+
+def test_unspaced_text_beside_a_match_stays(spark):
+    rng = np.random.default_rng(87)
+    w = lambda n: "".join(chr(0x4E00 + c) for c in rng.integers(0, 20000, n))
+    body, code = w(40), "".join(chr(97 + c) for c in rng.integers(0, 26, 150))
+    texts = {1: w(200) + body + w(200), 2: "x" * 9 + code + "y" * 9}
+    a, b = w(200), w(200)
+    texts |= {3: a + body + b, 4: "0123456789" * 30 + code + "9876543210" * 30}
+    out = removed(spark, texts)
+    assert out[3]["text"] == a + b and out[4]["text"] == "0123456789" * 30 + "9876543210" * 30
