@@ -58,10 +58,9 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each document that loses a passage: its cleaned text, where it was cut, and the documents that keep
-    what it loses."""
+    """A row for each document: its cleaned text, where it was cut, and the documents that keep what it loses."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = cdc.remove_repeats(docs, only_changed=True)
+    out = cdc.remove_repeats(docs)
     return out.select("doc_id", F.col("_first_ids").alias("first_doc_ids"), F.col("_n_removed").alias("n_removed"), F.col("_spans").alias("spans"), "text")
 
 

@@ -1,6 +1,6 @@
 import numpy as np
 
-from lakeloom.llm import cdc
+from lakeloom.llm import cdc, queries
 
 
 def words(rng, n):
@@ -55,3 +55,10 @@ def test_unspaced_text_beside_a_match_stays(spark):
     texts |= {3: a + body + b, 4: "0123456789" * 30 + code + "9876543210" * 30}
     out = removed(spark, texts)
     assert out[3]["text"] == a + b and out[4]["text"] == "0123456789" * 30 + "9876543210" * 30
+
+
+def test_a_row_for_each_document(spark, sf_dir):
+    docs = {r["doc_id"]: r["text"] for r in queries.table(spark, sf_dir, "documents").collect()}
+    out = {r["doc_id"]: r for r in queries.op8_substring_repeats(spark, sf_dir).collect()}
+    assert set(out) == set(docs) and 0 < sum(r["n_removed"] > 0 for r in out.values()) < len(docs)
+    assert all(r["text"] == docs[i] for i, r in out.items() if not r["n_removed"])
