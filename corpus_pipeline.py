@@ -16,14 +16,23 @@ from lakeloom.llm.runtime import materialize
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a learnt language is found; those without any letter go."""
-    found = langid.identify(docs).filter("lang_pred = 'und'").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    return langid.identify(docs, whole_rows=True).filter("_lang_pred <> 'und'").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the least doc_id: five-word shingles, similarity 0.8."""
-    gone = minmax.near_duplicates(docs, words=5, percent=80, bands=30, rows=5).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near-duplicates, that with the least doc_id: five-word shingles, similarity 0.8.
+
+    Rows with one doc_id, or with none, are told apart by numbers in the order of doc_id, null last."""
+    ids = docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null")
+    if ids.isEmpty():
+        rows, key = docs, "doc_id"
+    else:
+        order, key = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")], "_row"
+        rows = docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(key, F.monotonically_increasing_id())
+        rows = materialize(rows, "numbered rows")
+    named = rows.select(F.col(key).alias("doc_id"), "text")
+    gone = minmax.near_duplicates(named, words=5, percent=80, bands=30, rows=5).filter("not kept").select(F.col("doc_id").alias(key))
+    return rows.join(gone, key, "left_anti").select(docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -153,9 +153,9 @@ class Mixer:
         return theta, np.add.reduceat(np.log(last), first)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
+def predict(docs: DataFrame, model: Model, whole_rows: bool = False) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, lang_pred, score (the proportion of lang_pred), languages (the selected
-    set, the largest share first).
+    set, the largest share first); with whole_rows all columns of docs, and lang_pred as _lang_pred.
 
     The whole text counts. A text that is null or has no letter is `und` with score 0 and no languages, and so are all
     where the model knows no language. Rows are independent; an empty table gives no rows."""
@@ -181,14 +181,20 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     lang[i], score[i] = names[k], float(min(1.0, max(0.0, f[k])))
                     several[i] = [names[j] for j in np.argsort(-s, kind="stable") if s[j] > 0]
                 at = to
-            yield record(ROWS, doc_id=batch.column("doc_id"), lang_pred=lang, score=score, languages=several)
+            if whole_rows:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string())], names=[*batch.schema.names, "_lang_pred"])
+            else:
+                yield record(ROWS, doc_id=batch.column("doc_id"), lang_pred=lang, score=score, languages=several)
 
+    if whole_rows:
+        return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _lang_pred string")
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, languages array<string>")
 
 
-def identify(docs: DataFrame) -> DataFrame:
+def identify(docs: DataFrame, whole_rows: bool = False) -> DataFrame:
     """predict() with a model learnt from the documents of docs (doc_id, text, lang) that are not held out, with
     held_out added: whether crc32 of doc_id as text leaves 2 on division by 4 (false for a null doc_id, from whose row
-    nothing is learnt). lang and doc_id choose what is learnt from, and are no inputs of a prediction."""
-    found = predict(docs, learn(docs.filter(F.col("doc_id").isNotNull() & ~held_out())))
-    return found.withColumn("held_out", held_out())
+    nothing is learnt), but not with whole_rows. lang and doc_id choose what is learnt from, and are no inputs of a
+    prediction."""
+    found = predict(docs, learn(docs.filter(F.col("doc_id").isNotNull() & ~held_out())), whole_rows)
+    return found if whole_rows else found.withColumn("held_out", held_out())
