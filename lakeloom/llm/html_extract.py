@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -20,29 +21,33 @@ from pyspark.sql import functions as F
 from lakeloom.llm.runtime import record, small_batches, texts
 
 ROWS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
-#: Pages, least by a hash of page_id, from which the trees are learnt, and the longest such page.
-LEARN_PAGES, LEARN_CHARS = 400, 200_000
+#: Pages, least by a hash of page_id and url, from which the trees are learnt; the longest such page; and how many times
+#: as many are looked at, so that enough are left of those that are short enough.
+LEARN_PAGES, LEARN_CHARS, LOOKED_AT = 400, 200_000, 3
+#: Places for hashed tokens of attributes, and the counts that a token listed below begins with.
+TOKEN_PLACES, PRIOR = 1 << 13, 6.0
 TREES, DEPTH, RATE, BINS = 40, 4, 0.25, 32
 
-#: HTML's elements without content, those whose content is no markup, those that are no text of the page,
-#: inline ones, and those that end an open p or one another.
+#: HTML's elements without content, those whose content is no markup, those that are no text of the page
+#: (its head, scripts, styles and fields of forms), inline ones, and those that end an open p or one another.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript iframe object svg math textarea select option button input canvas audio video xmp noembed noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style textarea title iframe noembed noframes".split())
+HIDDEN = frozenset("head script style template textarea select option".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mo mn ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder semantics svg g text tspan path".split())
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 BARRIER = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "thead": ("table",), "tbody": ("table",), "tfoot": ("table",), "option": ("select",)}
-#: Words of class, id and role that speak for the article and against it.
+#: Words of class, id and role that are taken to speak for the article and against it, as far as the pages
+#: that are learnt from don't say otherwise.
 FOR = frozenset("article articlebody body content entry main maincontent post story text".split())
 AGAINST = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer form gdpr header legal links login masthead menu nav navbar navigation newsletter notice pagination popup promo promoted related replies reply reviews search share sharing sidebar signup social sponsor sponsored subscribe tags toolbar widget".split())
 SECTIONS = frozenset("nav aside footer header form menu dialog".split())
 KINDS = ("p", "h", "list", "cell", "div", "section", "marked", "aside", "quote", "other")
-_KIND = {"p": "p", "pre": "p", "h1": "h", "h2": "h", "h3": "h", "h4": "h", "h5": "h", "h6": "h", "li": "list", "ul": "list", "ol": "list", "dl": "list", "dt": "list", "dd": "list", "td": "cell", "th": "cell", "tr": "cell", "table": "cell", "tbody": "cell", "div": "div", "section": "section", "body": "section", "html": "section", "article": "marked", "main": "marked", "nav": "aside", "aside": "aside", "footer": "aside", "header": "aside", "form": "aside", "menu": "aside", "dialog": "aside", "blockquote": "quote", "figure": "quote", "figcaption": "quote"}
+_KIND = {"p": "p", "pre": "p", "h1": "h", "h2": "h", "h3": "h", "h4": "h", "h5": "h", "h6": "h", "li": "list", "ul": "list", "ol": "list", "dl": "list", "dt": "list", "dd": "list", "td": "cell", "th": "cell", "tr": "cell", "table": "cell", "tbody": "cell", "div": "div", "section": "section", "body": "section", "html": "section", "article": "marked", "main": "marked", "nav": "aside", "aside": "aside", "footer": "aside", "header": "aside", "form": "aside", "menu": "aside", "dialog": "aside", "button": "aside", "blockquote": "quote", "figure": "quote", "figcaption": "quote"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>?", re.S)
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN_ATTRIBUTE = re.compile(r"(?:^|\s)hidden(?:[\s=]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_UNSEEN = re.compile(r"(?:^|\s)hidden(?:[\s=]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 
@@ -54,21 +59,29 @@ class Tree:
     tag: list[str] = field(default_factory=list)
     tokens: list[frozenset[str]] = field(default_factory=list)
     hidden: list[bool] = field(default_factory=list)
+    #: Whether the element, or one around it, says that it isn't shown; and whether it was planted by with_noise().
+    unseen: list[bool] = field(default_factory=list)
+    planted: list[bool] = field(default_factory=list)
     blocks: list[tuple[int, str, int]] = field(default_factory=list)
 
-    def add(self, parent: int, tag: str, tokens: frozenset[str], hidden: bool) -> int:
+    def add(self, parent: int, tag: str, tokens: frozenset[str] = frozenset(), unseen: bool = False, planted: bool = False) -> int:
+        above = parent >= 0
         self.parent.append(parent)
         self.tag.append(tag)
         self.tokens.append(tokens)
-        self.hidden.append(hidden)
+        self.hidden.append(above and self.hidden[parent] or tag in HIDDEN)
+        self.unseen.append(above and self.unseen[parent] or unseen)
+        self.planted.append(above and self.planted[parent] or planted)
         return len(self.parent) - 1
 
 
 def parse(html: str) -> Tree:
     """The page's tree. Open elements end where HTML ends them; text of a block is unescaped, each run of white space in
-    it is one space, and its third field is the length of its text in links."""
+    it is one space, and its third field is the length of its text in links. The places of open elements are kept by
+    tag, so the work grows with the page and not with its depth."""
     tree = Tree()
-    stack: list[tuple[str, int]] = [("", tree.add(-1, "", frozenset(), False))]
+    stack: list[tuple[str, int]] = [("", tree.add(-1, ""))]
+    open_: dict[str, list[int]] = {}
     parts: list[str] = []
     linked, links, at, n = 0, 0, 0, len(html)
 
@@ -80,14 +93,19 @@ def parse(html: str) -> Tree:
                 tree.blocks.append((stack[-1][1], text, min(linked, len(text))))
             parts, linked = [], 0
 
-    def end(tags: tuple[str, ...], barrier: tuple[str, ...] = ()) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in tags:
-                flush()
-                del stack[k:]
-                return
-            if stack[k][0] in barrier:
-                return
+    def last(tags: tuple[str, ...]) -> int:
+        return max((x[-1] for t in tags if (x := open_.get(t))), default=0)
+
+    def end(tags: tuple[str, ...], barrier: tuple[str, ...] = ()) -> bool:
+        """End the innermost open element of these tags, unless one of the barrier is within it."""
+        k = last(tags)
+        if not k or last(barrier) > k:
+            return False
+        flush()
+        for tag, _ in stack[k:]:
+            open_[tag].pop()
+        del stack[k:]
+        return True
 
     while at < n:
         m = _TOKEN.search(html, at)
@@ -104,8 +122,8 @@ def parse(html: str) -> Tree:
         if m[1]:
             if tag in INLINE:
                 links -= tag == "a" and links > 0
-            elif any(t == tag for t, _ in stack):
-                end((tag,))
+            elif not end((tag,)) and tag == "p":  # an empty paragraph
+                flush()
             continue
         if tag in VOID:
             if tag == "br" or tag == "wbr":
@@ -125,24 +143,59 @@ def parse(html: str) -> Tree:
         links = 0
         if tag in ENDS_P:
             end(("p",), ("table", "td", "th", "button", "object"))
-        if tag in SAME_ENDS:
-            while len(stack) > 1 and any(t in SAME_ENDS[tag] for t, _ in stack[1:]):
-                before = len(stack)
-                end(SAME_ENDS[tag], BARRIER[tag])
-                if len(stack) == before:
-                    break
+        while tag in SAME_ENDS and end(SAME_ENDS[tag], BARRIER[tag]):
+            pass
         up = stack[-1][1]
-        words = frozenset(w.lower() for g in _ATTRIBUTE.findall(m[3]) for w in _SPLIT.split(g[0] or g[1] or g[2]) if w) if "=" in m[3] else frozenset()
-        node = tree.add(up, tag, words, tree.hidden[up] or tag in HIDDEN or bool(m[3] and _HIDDEN_ATTRIBUTE.search(m[3])))
+        said = m[3] or ""
+        words = frozenset(w.lower() for g in _ATTRIBUTE.findall(said) for w in _SPLIT.split(g[0] or g[1] or g[2]) if w) if "=" in said else frozenset()
+        node = tree.add(up, tag, words, bool(said and _UNSEEN.search(said)), PLANTED in said)
+        open_.setdefault(tag, []).append(len(stack))
         stack.append((tag, node))
     flush()
     return tree
 
 
-FEATURES = 17 + len(KINDS)
+#: The attribute by which with_noise() marks what it plants.
+PLANTED = "data-lakeloom-planted"
+#: Tags and tokens by which an element says that it is the article.
+MARKS = frozenset(["article", "main", "articlebody"])
+
+
+def place(token: str) -> int:
+    return crc32(token.encode()) % TOKEN_PLACES
+
 
+def said_tokens(tree: Tree, i: int, marks: bool) -> list[str]:
+    """Words of a node's class, id and role, and the tags that name a part of the page; without marks, none that speak for
+    the article."""
+    tag = tree.tag[i]
+    found = [*tree.tokens[i], f"<{tag}>"] if tag in SECTIONS or tag in MARKS else list(tree.tokens[i])
+    return found if marks else [t for t in found if t not in FOR and t.strip("<>") not in MARKS]
 
-def features(tree: Tree, marks: bool = True) -> np.ndarray:
+
+def token_weights(labelled: list[tuple[Tree, np.ndarray]]) -> np.ndarray:
+    """By place of a token, the log-odds that a node with it is of the article, above those of any node. A listed token
+    begins with some counts, one that never occurs weighs nothing."""
+    counts = np.zeros((2, TOKEN_PLACES))
+    for tree, y in labelled:
+        for i in range(1, len(tree.parent)):
+            for t in said_tokens(tree, i, True):
+                counts[int(y[i]), place(t)] += 1
+    n = counts.sum(axis=0)
+    all_ = np.array([sum(len(y) - y.sum() for _, y in labelled), sum(y.sum() for _, y in labelled)]) + 1.0
+    for words, k in ((FOR, 1), (AGAINST, 0)):
+        for t in words:
+            counts[k, place(t)] += PRIOR * 2 * all_[k] / all_.sum()
+    counts[0, [place(f"<{t}>") for t in SECTIONS]] += PRIOR
+    share = all_ / all_.sum()
+    odds = np.log(counts[1] + share[1]) - np.log(counts[0] + share[0]) - np.log(share[1] / share[0])
+    return np.where((n > 0) | (counts.sum(axis=0) > 0), np.clip(odds, -4, 4), 0.0)
+
+
+FEATURES = 18 + len(KINDS)
+
+
+def features(tree: Tree, weights: np.ndarray, marks: bool = True) -> np.ndarray:
     """A row for each node; without marks, elements that say they are the article look like any other."""
     n = len(tree.parent)
     own, link, words, marksum, blocks = (np.zeros(n) for _ in range(5))
@@ -154,12 +207,14 @@ def features(tree: Tree, marks: bool = True) -> np.ndarray:
         blocks[node] += 1
     total, total_link, size, total_blocks = own.copy(), link.copy(), np.ones(n), blocks.copy()
     depth, index, children, same = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
-    good, bad, good_up, bad_up = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
+    good, bad, good_up, bad_up, odds = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n), weights.tolist()
     kinds: dict[tuple[int, str], int] = {}
     for i, up in enumerate(tree.parent):
-        tag, tokens = tree.tag[i], tree.tokens[i]
-        good[i] = marks and (len(tokens & FOR) + (tag in ("article", "main")))
-        bad[i] = len(tokens & AGAINST) + (tag in SECTIONS)
+        tag = tree.tag[i]
+        for t in said_tokens(tree, i, marks):
+            w = odds[place(t)]
+            good[i] += max(w, 0.0)
+            bad[i] += max(-w, 0.0)
         if up >= 0:
             depth[i], index[i] = depth[up] + 1, children[up]
             good_up[i], bad_up[i] = good_up[up] + good[up], bad_up[up] + bad[up]
@@ -177,26 +232,26 @@ def features(tree: Tree, marks: bool = True) -> np.ndarray:
     for i, tag in enumerate(tree.tag):
         k = _KIND.get(tag, "other")
         kind[i, KINDS.index("div" if k == "marked" and not marks else k)] = 1
-    cols = [own, total, total / size, link / np.maximum(own, 1), total_link / np.maximum(total, 1), total / max(1.0, total[0]), total / np.maximum(total[up], 1), depth, index, children[up], same, marksum / np.maximum(words, 1), own / np.maximum(words, 1), good, bad, np.minimum(good_up, 3), np.minimum(bad_up, 3)]
+    cols = [own, total, total / size, link / np.maximum(own, 1), total_link / np.maximum(total, 1), total / max(1.0, total[0]), total / np.maximum(total[up], 1), depth, index, children[up], same, marksum / np.maximum(words, 1), own / np.maximum(words, 1), good, bad, np.minimum(good_up, 9), np.minimum(bad_up, 9), np.array(tree.unseen, float)]
     return np.concatenate([np.stack(cols, axis=1), kind], axis=1)
 
 
 def weak_labels(tree: Tree) -> np.ndarray | None:
-    """Per node whether it is in an element that is marked as the article and in nothing that is marked otherwise; None
-    if the page marks none."""
+    """Per node whether it is in an element that is marked as the article, in no other part of the page within it, and not
+    planted; None if the page marks none."""
     n = len(tree.parent)
-    inside, against = np.zeros(n, bool), np.zeros(n, bool)
+    inside, other = np.zeros(n, bool), np.array(tree.planted, bool)
     for i, up in enumerate(tree.parent):
         tag, tokens = tree.tag[i], tree.tokens[i]
-        inside[i] = up >= 0 and inside[up] or tag in ("article", "main") or "articlebody" in tokens
-        against[i] = up >= 0 and against[up] or tag in SECTIONS or bool(tokens & AGAINST)
-    return inside & ~against if inside.any() else None
+        inside[i] = up >= 0 and inside[up] or tag in MARKS or bool(tokens & MARKS)
+        other[i] |= up >= 0 and other[up] or tag in SECTIONS
+    return inside & ~other if inside.any() else None
 
 
 def plain_labels(tree: Tree) -> np.ndarray:
-    """Where no page marks its article: running text that is not in links and in nothing marked otherwise."""
-    f = features(tree)
-    return (f[:, 0] > 80) & (f[:, 3] < 0.3) & (f[:, 14] + f[:, 16] == 0)
+    """Where no page marks its article: running text that is not in links and in nothing that is listed or planted."""
+    f = features(tree, token_weights([]))
+    return (f[:, 0] > 80) & (f[:, 3] < 0.3) & (f[:, 14] + f[:, 16] == 0) & ~np.array(tree.planted, bool)
 
 
 @dataclass
@@ -207,9 +262,10 @@ class Boosted:
     base: float
     questions: np.ndarray
     values: np.ndarray
+    weights: np.ndarray
 
     @staticmethod
-    def fit(x: np.ndarray, y: np.ndarray) -> "Boosted":
+    def fit(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> "Boosted":
         edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
         bins = np.stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T, strict=True)], axis=1)
         base = float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
@@ -233,7 +289,7 @@ class Boosted:
             score += v[leaf]
             questions.append(asked)
             values.append(v)
-        return Boosted(edges, base, np.array(questions), np.array(values))
+        return Boosted(edges, base, np.array(questions), np.array(values), weights)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Log-odds of each row."""
@@ -249,7 +305,7 @@ class Boosted:
 
 #: What is put into every third page that trees are learnt from, with a paragraph of another page: boilerplate that
 #: reads like an article.
-NOISE = ('<div class="comments"><h3>{0}</h3><p>{1}</p></div>', '<div id="sidebar"><p>{1}</p></div>', '<aside><p>{1}</p><p>{0}</p></aside>', '<div class="cookie-notice">{1}</div>', '<form><p>{1}</p></form>', '<div class="related-posts"><ul><li>{0}</li><li>{1}</li></ul></div>', '<section class="replies"><div class="reply"><p>{1}</p></div></section>', '<div class="newsletter signup"><p>{1}</p></div>', '<header class="site-header"><p>{1}</p></header>', '<div class="share-links">{0}</div>')
+NOISE = ('<div class="comments"><h3>{0}</h3><p>{1}</p></div>', '<div id="sidebar"><p>{1}</p></div>', '<aside><p>{1}</p><p>{0}</p></aside>', '<div class="cookie-notice">{1}</div>', '<form><p>{1}</p></form>', '<div class="related-posts"><ul><li>{0}</li><li>{1}</li></ul></div>', '<section class="replies"><div class="reply"><p>{1}</p></div></section>', '<div class="newsletter signup"><p>{1}</p></div>', '<header class="site-header"><p>{1}</p></header>', '<div class="share-links"><button>{0}</button></div>')
 
 
 def with_noise(pages: list[str]) -> list[str]:
@@ -259,6 +315,7 @@ def with_noise(pages: list[str]) -> list[str]:
             other = pages[(k * 7 + 1) % len(pages)]
             parts = sorted((x for x in re.findall(r"<p>([^<>]*)", other)[:40]), key=len) or [""]
             noise = NOISE[k // 3 % len(NOISE)].format(parts[0][:80], parts[-1])
+            noise = re.sub(r"^<[a-z]+", lambda m: f"{m[0]} {PLANTED}", noise)
             cut = page.rfind("</article>") if k % 2 else page.find("<article")
             cut = cut + len("</article>") * (k % 4 == 1) if cut >= 0 else len(page)
             page = page[:cut] + noise + page[cut:]
@@ -267,14 +324,22 @@ def with_noise(pages: list[str]) -> list[str]:
 
 
 def learn(pages: DataFrame) -> Boosted:
-    """Trees from a bounded set of pages (page_id, html)."""
-    chosen = pages.filter(F.coalesce(F.length("html"), F.lit(0)).between(1, LEARN_CHARS)).orderBy(F.xxhash64("page_id"), "page_id").limit(LEARN_PAGES).select("html").collect()
+    """Trees from a bounded set of pages (page_id, url, html). A hash of page_id and url passes a share of all pages that
+    leaves some hundreds, however many there are, so the driver's part doesn't grow with the table; rows that repeat a
+    page_id and url are one page."""
+    key, bound = F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 40)), 1 << 40
+    n = pages.count()
+    share = min(bound, -(-bound * LOOKED_AT * LEARN_PAGES // max(n, 1)))
+    some = pages.withColumn("key", key).filter(F.col("key") < share).filter(F.coalesce(F.length("html"), F.lit(0)).between(1, LEARN_CHARS))
+    some = some.groupBy("key", "page_id", "url").agg(F.min("html").alias("html"))
+    chosen = some.orderBy("key", "page_id", "url").limit(LEARN_PAGES).select("html").collect()
     trees = [parse(h) for h in with_noise([r["html"] for r in chosen])]
     marked = [(t, y) for t in trees if (y := weak_labels(t)) is not None]
     labelled = marked or [(t, plain_labels(t)) for t in trees]
-    x = [features(t, marks=bool(k % 2)) for k, (t, _) in enumerate(labelled)] or [np.zeros((1, FEATURES))]
+    weights = token_weights(labelled)
+    x = [features(t, weights, marks=bool(k % 2)) for k, (t, _) in enumerate(labelled)] or [np.zeros((1, FEATURES))]
     y = [y for _, y in labelled] or [np.zeros(1)]
-    return Boosted.fit(np.concatenate(x), np.concatenate(y).astype(np.float64))
+    return Boosted.fit(np.concatenate(x), np.concatenate(y).astype(np.float64), weights)
 
 
 OPEN, KEPT, DROPPED = range(3)
@@ -319,7 +384,7 @@ def extract(pages: list[str], model: Boosted) -> list[str]:
     trees = [parse(p) for p in pages]
     if not trees:
         return []
-    scores = model.score(np.concatenate([features(t) for t in trees]))
+    scores = model.score(np.concatenate([features(t, model.weights) for t in trees]))
     out, at = [], 0
     for t in trees:
         keep = decode(t, scores[at : at + len(t.parent)])
@@ -331,7 +396,9 @@ def extract(pages: list[str], model: Boosted) -> list[str]:
 def extract_main_text(pages: DataFrame, model: Boosted | None = None) -> DataFrame:
     """Per row of pages (page_id, url, html; null: empty): page_id, url, text, n_chars.
 
-    The whole html is read; text is empty where the page has no article. Repeated rows and null ids or urls stay as they
+    The whole html is read, however deep its elements are nested; text is empty where the page has no article. Scripts,
+    styles, the head, and fields of forms are no text; all else, what says that it isn't shown too, is judged by the
+    trees. Repeated rows and null ids or urls stay as they
     are; an empty table gives no rows. One pass; the model is learnt from a bounded set of the pages."""
     small_batches(pages.sparkSession)
     pages = pages.select("page_id", "url", "html")

@@ -1,6 +1,8 @@
 """Operators on embeddings and pages, against brute force."""
 
+import itertools
 import re
+import time
 from html import unescape
 
 import numpy as np
@@ -109,3 +111,60 @@ def test_decoding_agrees():
                 while up > 0:
                     assert not keep[up]
                     up = tree.parent[up]
+
+
+def test_decoding_is_the_best_choice():
+    """The decoding against all choices of states on small trees."""
+    h, rng = html_extract, np.random.default_rng(6)
+    for _ in range(40):
+        tree = h.Tree()
+        tree.add(-1, "")
+        for i in range(1, int(rng.integers(2, 8))):
+            tree.add(int(rng.integers(0, i)), "div")
+            if rng.random() < 0.7:
+                tree.blocks.append((i, "x" * int(rng.integers(1, 90)), 0))
+        n = len(tree.parent)
+        score, own = rng.normal(size=n) * 3, np.zeros(n)
+        for i, text, _ in tree.blocks:
+            own[i] += len(text)
+        s = np.clip(score, -8, 8) * (0.1 + np.sqrt(own))
+        worth = {h.KEPT: np.minimum(s, 0), h.DROPPED: np.minimum(-s, 0), h.OPEN: -h.OPEN_COST - np.where(own > 0, np.maximum(s, 0), 0)}
+        found = {}
+        for states in itertools.product(range(3), repeat=n):
+            if any(up >= 0 and states[i] not in h._UNDER[states[up]] for i, up in enumerate(tree.parent)):
+                continue
+            value = sum(worth[c][i] for i, c in enumerate(states)) - h.TURN_COST * sum(up >= 0 and (states[up], states[i]) == (h.KEPT, h.DROPPED) for i, up in enumerate(tree.parent))
+            keep = tuple(c == h.KEPT for c in states)
+            found[keep] = max(found.get(keep, -1e9), value)
+        assert found[tuple(h.decode(tree, score).tolist())] > max(found.values()) - 1e-9
+
+
+def test_deep_pages_take_linear_time():
+    began = time.perf_counter()
+    for page in ("<div>" * 30_000 + "x", "<ul><li>" * 30_000 + "x", "<table><tr><td>" * 20_000 + "x", "<p>a" * 50_000):
+        assert "".join(text for _, text, _ in html_extract.parse(page).blocks) in ("x", "a" * 50_000)
+    assert time.perf_counter() - began < 10
+
+
+def test_elements_end_where_html_ends_them():
+    t = html_extract.parse("<ul><li>a<ul><li>b</ul><li>c</ul><p>d<div>e</div>f<table><tr><td>g<td>h<tr><td>i</table>j</p>k")
+    assert [b for _, b, _ in t.blocks] == list("abcdefghijk")
+    up = {b: t.tag[n] for n, b, _ in t.blocks}
+    assert up["c"] == "li" and up["e"] == "div" and up["f"] == "" and up["i"] == "td" and up["j"] == ""
+
+
+def test_text_that_is_not_shown_is_judged_too(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    model, html = html_extract.learn(pages), pages.orderBy("page_id").first()["html"]
+    more = '<noscript><p>Kept in full.</p></noscript><p aria-hidden="true">And this.</p><p>With <math><mi>x</mi><mo>=</mo><mn>1</mn></math>.</p></article>'
+    got = html_extract.extract([html.replace("</article>", more)], model)[0]
+    assert got == article(html) + "\nKept in full.\nAnd this.\nWith x=1."
+
+
+def test_pages_to_learn_from_are_bounded(spark):
+    """One page may be most of the table: it is one page, and the trees are the same."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html").cache()
+    one = pages.filter("page_id = 3")
+    many = pages.union(one).union(one)
+    a, b = html_extract.learn(pages), html_extract.learn(many)
+    assert (a.values == b.values).all() and (a.weights == b.weights).all()
