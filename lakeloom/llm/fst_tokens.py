@@ -4,7 +4,10 @@ Two deterministic transducers run over a text. The first, over classes of charac
 which merging happens; its transitions say where a word begins. It is run in parallel: each chunk of characters is
 mapped to a state map (end state for every start state), the maps are composed by a prefix scan, and each chunk then
 runs from its true start state. The second, over bytes, counts tokens: its transitions carry the tokens that a byte
-adds (it may take some back, when they merge). Its states are found as texts need them and kept.
+adds (it may take some back, when they merge). Its states are found as texts need them and kept. A long word is cut
+into chunks, which all step together: the bytes before a chunk lead to the state that it starts from, so each chunk
+maps that state to the one at its end. These maps are composed along the word; where the chunk before ends in another
+state than the one led to, the chunk is mapped anew from it.
 
 A state of the second holds, for each place where a token that ends later may have begun: the vocabulary-trie node
 reached from there, the last token before it, and the tokens up to it less those up to here. A token may follow
@@ -39,8 +42,12 @@ CUT, CUT_BEFORE = 1, 2
 CHUNK = 256
 #: Characters of texts that are worked on together.
 BATCH_CHARS = 1 << 20
-#: States kept by a worker; beyond this many they are found anew.
-KEPT_STATES = 1_500_000
+#: States and pairs of tokens kept by a worker; beyond this many they are found anew.
+KEPT_STATES, KEPT_PAIRS = 600_000, 2_000_000
+#: Bytes of words that step together, each of which may bring a new state.
+STEP_BYTES = 1 << 18
+#: Bytes of a word beyond which it is cut; of its chunks; of the run that leads to a chunk; and chunks that step together.
+LONG, LONG_CHUNK, LEAD, LANES = 1024, 512, 96, 4096
 
 
 def dividing_transducer() -> tuple[np.ndarray, np.ndarray]:
@@ -141,11 +148,16 @@ class CountingTransducer:
             self.merged[pair] = i
             self.halves.setdefault(i, pair)
         self.follows: dict[tuple[int, int], bool] = {}
+        self.trie_keys = np.array(sorted(self.trie), np.int64)
+        self.trie_to = np.array([self.trie[k] for k in self.trie_keys.tolist()], np.int64)
+        self.token_of = np.full(nodes, -1, np.int64)
+        self.token_of[list(self.token_at)] = list(self.token_at.values())
         self._forget()
 
     def _forget(self) -> None:
         self.ids: dict[tuple, int] = {}
         self.states: list[tuple] = []
+        self.walked: dict[int, tuple[int, int]] = {}
         size = 1 << 22
         self.shift = np.uint64(64 - 22)
         self.keys = np.full(size, -1, np.int64)
@@ -204,11 +216,27 @@ class CountingTransducer:
         return at
 
     def counts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Tokens of each word data[start:end], all words stepping together."""
-        if self.filled > len(self.keys) // 2 or len(self.states) > KEPT_STATES:
+        """Tokens of each word data[start:end]."""
+        lengths = ends - starts
+        out = np.empty(len(starts), np.int64)
+        for i in np.flatnonzero(lengths > LONG).tolist():
+            out[i] = self._long(data[starts[i] : ends[i]])
+        short = np.flatnonzero(lengths <= LONG)
+        for part in np.split(short, np.flatnonzero(np.diff(np.cumsum(lengths[short]) // STEP_BYTES)) + 1):
+            out[part] = self._short(data, starts[part], lengths[part])
+        return out
+
+    def _bound(self) -> None:
+        if len(self.follows) > KEPT_PAIRS:
+            self.follows.clear()
+        if self.filled > len(self.keys) // 2 or len(self.states) > KEPT_STATES or len(self.walked) > KEPT_STATES:
             self._forget()
-        order = np.argsort(starts - ends, kind="stable")
-        starts, lengths = starts[order], (ends - starts)[order]
+
+    def _short(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Tokens of each word, all words stepping together."""
+        self._bound()
+        order = np.argsort(-lengths, kind="stable")
+        starts, lengths = starts[order], lengths[order]
         state, total = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
         alive = np.searchsorted(-lengths, -np.arange(1, (lengths[0] if len(lengths) else 0) + 1), side="right")
         for k, m in enumerate(alive.tolist()):
@@ -221,24 +249,85 @@ class CountingTransducer:
                     self.keys[slot], self.next[slot], self.adds[slot] = key, to, added
                     self.filled += 1
                 at = self._slots(keys)
-                if self.filled > len(self.keys) * 3 // 4:
-                    self._grow()
-                    at = self._slots(keys)
             state[:m] = self.next[at]
             total[:m] += self.adds[at]
         out = np.empty(len(total), np.int64)
         out[order] = total
         return out
 
-    def _grow(self) -> None:
-        keys, nxt, adds = self.keys, self.next, self.adds
-        used = np.flatnonzero(keys >= 0)
-        self.shift -= np.uint64(1)
-        self.keys = np.full(2 * len(keys), -1, np.int64)
-        self.next, self.adds = np.zeros(2 * len(keys), np.int32), np.zeros(2 * len(keys), np.int8)
-        for i in used:
-            slot = self._slots(keys[i : i + 1])[0]
-            self.keys[slot], self.next[slot], self.adds[slot] = keys[i], nxt[i], adds[i]
+    def _lanes(self, data: np.ndarray, cuts: np.ndarray) -> list[tuple[tuple, tuple, int]]:
+        """For each chunk data[cut:next cut]: the state led to by the bytes before it, the state at its end, and the
+        tokens it adds from the one to the other. Chunks step together, and no state is kept.
+
+        What is alive is a flat list, older beginnings first: chunk, trie node, last token before, tokens up to it."""
+        first = np.maximum(cuts[:-1] - LEAD, 0)
+        lead, n = cuts[:-1] - first, len(first)
+        length, begun = cuts[1:] - first, np.zeros(n, np.int64)
+        lane, node, last, count = np.arange(n), np.zeros(n, np.int64), np.full(n, -1), np.zeros(n, np.int64)
+        led: list[tuple] = [()] * n
+        ended: list[tuple] = [()] * n
+
+        def keep(which: np.ndarray, into: list[tuple], total: np.ndarray) -> None:
+            at = np.flatnonzero(which[lane])
+            at = at[np.argsort(lane[at], kind="stable")]
+            rows = zip(lane[at].tolist(), node[at].tolist(), last[at].tolist(), (count[at] - total[lane[at]]).tolist(), strict=True)
+            for i, *entry in rows:
+                into[i] += (tuple(entry),)
+
+        total = np.zeros(n, np.int64)
+        keep(lead == 0, led, total)
+        for k in range(int(length.max())):
+            on = k < length
+            alive = on[lane]
+            lane, node, last, count = lane[alive], node[alive], last[alive], count[alive]
+            keys = node << 8 | data[first[lane] + k]
+            at = np.minimum(np.searchsorted(self.trie_keys, keys), len(self.trie_keys) - 1)
+            alive = self.trie_keys[at] == keys
+            lane, node, last, count = lane[alive], self.trie_to[at[alive]], last[alive], count[alive]
+            token = self.token_of[node]
+            ends = np.flatnonzero(token >= 0)
+            pairs, which = np.unique(last[ends] << 32 | token[ends], return_inverse=True)
+            ok = np.array([p < 0 or self.may_follow(p >> 32, p & 0xFFFFFFFF) for p in pairs.tolist()], bool)
+            ends = ends[ok[which]]
+            oldest = np.full(n, -1)
+            oldest[lane[ends[::-1]]] = ends[::-1]
+            here = np.flatnonzero(on)
+            at = oldest[here]
+            total[here] = count[at] + 1
+            lane, node, last, count = (np.concatenate(x) for x in ((lane, here), (node, np.zeros(len(here), np.int64)), (last, token[at]), (count, total[here])))
+            if (now := on & (k + 1 == lead)).any():
+                begun[now] = total[now]
+                keep(now, led, total)
+            if (now := on & (k + 1 == length)).any():
+                keep(now, ended, total)
+        return list(zip(led, ended, (total - begun).tolist(), strict=True))
+
+    def _walk(self, state: tuple, chunk: bytes) -> tuple[tuple, int]:
+        """The state at the end of a chunk, from the one at its beginning, and the tokens added."""
+        self._bound()
+        at, total = self._state(state), 0
+        for b in chunk:
+            key = at << 8 | b
+            step = self.walked.get(key)
+            if step is None:
+                step = self.walked[key] = self._transition(at, b)
+            at = step[0]
+            total += step[1]
+        return self.states[at], total
+
+    def _long(self, data: np.ndarray) -> int:
+        """Tokens of a long word, by the maps of its chunks."""
+        cuts = np.append(np.arange(0, len(data), LONG_CHUNK), len(data))
+        state, total = ((0, -1, 0),), 0
+        for k in range(0, len(cuts) - 1, LANES):
+            part = cuts[k : k + LANES + 1]
+            if len(self.follows) > KEPT_PAIRS:
+                self.follows.clear()
+            for j, (led, ended, added) in enumerate(self._lanes(data, part)):
+                if led != state:
+                    ended, added = self._walk(state, data[part[j] : part[j + 1]].astype(np.uint8).tobytes())
+                state, total = ended, total + added
+        return total
 
 
 class TokenCounter:
@@ -284,8 +373,9 @@ def counter(path: str) -> TokenCounter:
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024) -> DataFrame:
     """Per document of docs (doc_id, text; null: empty): doc_id, n_bytes, n_tokens, over_limit.
 
-    One pass without a shuffle; a very long text is worked on as one piece of up to its own length. Rows are
-    independent: repeats and null ids stay as they are, an empty table gives no rows."""
+    One pass without a shuffle; a very long text is worked on as one piece of up to its own length, and so is a very
+    long word, in time that grows with its length and with a bounded number of states kept. Rows are independent:
+    repeats and null ids stay as they are, an empty table gives no rows."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
