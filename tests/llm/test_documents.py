@@ -66,6 +66,40 @@ def test_mix(which, request):
     assert made == Counter({s: k for s, k in taken.items() if k})
 
 
+def test_mix_of_ties(spark):
+    """Rows with one doc_id or none, equal rows, and a row that is a third of all: targets are met, and reruns agree."""
+    texts = [f"w{i} " * (1 + i % 9) for i in range(300)]
+    data = [(i if i % 3 else None if i % 2 else 7, t, "ab"[i % 2]) for i, t in enumerate(texts)] + [(5, "one two three four five", "a")] * 200
+    table = spark.createDataFrame(data, "doc_id long, text string, source string")
+    for share in (1.0, 0.3, 0.01):
+        for seed in range(4):
+            columns = ["doc_id", "source", "text", "_size", "_source_size", "_taken"]
+            got, again = (sorted(rows(mixing.mix(t, share=share, seed=seed), *columns), key=repr) for t in (table, table.repartition(7)))
+            assert got == again and len(got) == len(data)
+            taken, sizes = Counter(), Counter()
+            for _, s, t, n, _, k in got:
+                assert n == len(t.split()) and 0 <= k <= 3 * n
+                taken[s] += k
+                sizes[s] += n
+            all_ = share * sum(sizes.values())
+            want = {"a": min(all_ / 3, 3 * sizes["a"]), "b": min(2 * all_ / 3, 3 * sizes["b"])}
+            if share == 1.0:
+                want = targets(sizes)
+            assert all(abs(taken[s] - want[s]) <= 1 for s in want)
+            assert sum(k % n > 0 for *_, n, _, k in got) <= 2
+
+
+def test_mix_without_text_gives_the_same_counts(docs):
+    words = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
+    got = Counter()
+    for s, k in rows(mixing.mix(words, F.col("size")), "source", "_taken"):
+        got[s] += k
+    want = Counter()
+    for s, k in rows(mixing.mix(docs), "source", "_taken"):
+        want[s] += k
+    assert got == want
+
+
 def test_mix_is_native(docs):
     plan = mixing.mix(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
