@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,12 +18,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def vocabulary(name: str) -> str:
     """The path of a public vocabulary file; it is the same on all machines."""
-    try:
-        import public_tokenizers
+    import public_tokenizers
 
-        return public_tokenizers.path(name)
-    except ImportError:
-        return str(Path("/opt/tokenizers") / name)
+    return public_tokenizers.path(name)
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +34,8 @@ def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pfor.read_token_files(pfor.write_token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), END_ID))
+    folder = pfor.write_token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), END_ID)
+    return pfor.read_token_files(spark, folder)
 
 
 def op4_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,24 +31,53 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared scratch folder. Paths are remembered until discard() or empty_scratch()."""
+    path = f"{scratch_root(spark)}/lakeloom/{re.sub(r'[^a-z0-9]+', '-', label)}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as a Parquet table in the shared scratch folder and read it back: a lineage cut that survives the loss
     of executors, and one computation for several readers."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/lakeloom/{re.sub(r'[^a-z0-9]+', '-', label)}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lakeloom_path = path
     return out
 
 
+#: Paths of scratch tables that are still there, in the order of their making.
+_MADE: list[str] = []
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+    if path in _MADE:
+        _MADE.remove(path)
+
+
 def discard(df: DataFrame) -> None:
     """Remove the files of a materialized table that nothing reads any more."""
     path = getattr(df, "_lakeloom_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        _remove(df.sparkSession, path)
+
+
+def scratch_mark() -> int:
+    """What empty_scratch() takes as the point from which on tables are removed."""
+    return len(_MADE)
+
+
+def empty_scratch(spark: SparkSession, since: int = 0, but: tuple[DataFrame, ...] = ()) -> None:
+    """Remove the scratch tables made since a mark, but for some. Results that were returned read them, so this is for a
+    caller who has written its results."""
+    kept = {getattr(df, "_lakeloom_path", None) for df in but}
+    for path in [p for p in _MADE[since:] if p not in kept]:
+        _remove(spark, path)
 
 
 def small_batches(spark: SparkSession) -> None:

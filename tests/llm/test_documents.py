@@ -26,7 +26,8 @@ def rows(df, *columns):
 def library(path):
     from tokenizers import Tokenizer
 
-    return lambda t: Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids
+    tokenizer = Tokenizer.from_file(path)
+    return lambda t: tokenizer.encode(t or "", add_special_tokens=False).ids
 
 
 # 1 ------------------------------------------------------------------------------------------------------------------
@@ -141,17 +142,34 @@ def test_language_mixture(docs):
 
 
 # 3 ------------------------------------------------------------------------------------------------------------------
-@pytest.mark.parametrize("which", ["odd", "none"])
-def test_token_files(which, request):
+@pytest.mark.parametrize("which", ["docs", "odd", "none"])
+def test_token_files(which, request, spark, tmp_path):
     table = request.getfixturevalue(which)
     encode = library(WORDS)
     want, at = [], 0
-    for i, t in sorted(rows(table, "doc_id", "text"), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+    for i, t, _ in sorted(rows(table.withColumn("h", F.xxhash64("text")), "doc_id", "text", "h"), key=lambda r: (r[0] is not None, r[0] or 0, r[2])):
         ids = [*encode(t), 2]
         want.append((i, at, len(ids), zlib.crc32(array("I", ids).tobytes())))
         at += len(ids)
-    got = rows(pfor.read_token_files(pfor.write_token_files(table, WORDS, 2)), "doc_id", "start", "n_tokens", "ids_crc32")
+    folder = pfor.write_token_files(table, WORDS, 2, str(tmp_path / "files"))
+    got = rows(pfor.read_token_files(spark, folder), "doc_id", "start", "n_tokens", "ids_crc32")
     assert sorted(got, key=lambda r: r[1]) == want
+    images = [b for f in (tmp_path / "files").glob("part-*") if (b := f.read_bytes())]  # a loader without Spark
+    ids = [x for b in sorted(images, key=pfor.image_place) for x in pfor.read_image(b)[2].tolist()]
+    assert len(ids) == at and (at == 0 or ids[-1] == 2)
+
+
+def test_token_files_without_ids(spark):
+    """Rows without a doc_id are dealt to several files, and none is lost."""
+    n = 4000
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    table = spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    folder = pfor.write_token_files(table, WORDS, 2)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = [pfor.read_image(bytes(r["content"]))[0] for r in spark.read.format("binaryFile").load(folder).collect()]
+    assert sum(map(len, files)) == n and len(files) > 1 and max(map(len, files)) < n / 2
+    got = sorted(rows(pfor.read_token_files(spark, folder), "start", "n_tokens"))
+    assert all(a + k == b for (a, k), (b, _) in zip(got, got[1:], strict=False))
 
 
 @pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 1000])
@@ -161,6 +179,7 @@ def test_blocks(n):
         ids = ids.astype(np.uint32)
         keys, lengths, back = pfor.read_image(pfor.write_image([3, None], [n, 0], ids))
         assert keys == [3, None] and lengths.tolist() == [n, 0] and (back == ids).all()
+        assert pfor.image_place(pfor.write_image([3, None], [n, 0], ids, 7, 1 << 40)) == (7, 1 << 40)
         index, payload = pfor.pack(ids)
         if n > 300:  # a block alone
             index = np.frombuffer(index, pfor.INDEX)
