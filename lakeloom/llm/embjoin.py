@@ -23,9 +23,10 @@ from lakeloom.llm.runtime import materialize
 AXES, AXES_FROM = 4, 4096
 #: Vectors of a block whose cosines are computed at once.
 LEAF = 512
-#: Limits of the vectors in an interval that is sent to tasks as one, and of the number of intervals.
-INTERVAL_ROWS, INTERVALS = 8192, 4096
-BROADCAST_PAIRS = 50_000
+#: Bytes of the vectors in an interval, however many vectors there are: a task holds two intervals.
+INTERVAL_BYTES = 16 << 20
+#: Intervals whose boxes are broadcast at once, and rows of pairs that are.
+BROADCAST_BOXES, BROADCAST_PAIRS = 1 << 19, 50_000
 
 
 def _apart(lo_a: np.ndarray, hi_a: np.ndarray, lo_b: np.ndarray, hi_b: np.ndarray) -> float:
@@ -101,13 +102,67 @@ def join_blocks(x: np.ndarray, y: np.ndarray, weight: np.ndarray, split: int, co
     return linked, label
 
 
+def _axes(heads: DataFrame, n: int, d: int) -> np.ndarray:
+    """Leading principal axes of about AXES_FROM vectors; a share of all passes a hash, so that the driver gets as many
+    however many partitions there are."""
+    bound = 1 << 40
+    share = min(bound, -(-2 * bound * AXES_FROM // n))
+    some = heads.withColumn("key", F.pmod(F.xxhash64("id"), F.lit(bound))).filter(F.col("key") < share)
+    sample = np.array([r[0] for r in some.orderBy("key", "id").limit(AXES_FROM).select("embedding").collect()], np.float64).reshape(-1, d)
+    sample /= np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-300)
+    around = sample.T @ sample - len(sample) * np.outer(sample.mean(0), sample.mean(0)) if len(sample) else np.eye(d)
+    return np.ascontiguousarray(np.linalg.eigh(around)[1][:, ::-1][:, :AXES])
+
+
+def interval_rows(n: int, d: int, tasks: int) -> int:
+    """Vectors of an interval: as few intervals as give each task some pairs of them, since every vector is sent once for
+    each interval that its own may meet, but none beyond INTERVAL_BYTES."""
+    wanted = int(np.ceil(np.sqrt(8 * tasks)))
+    return max(1, min(max(LEAF, -(-n // wanted)), INTERVAL_BYTES // (8 * d)))
+
+
+def _pairs(boxes: DataFrame, names: list[str], epsilon: float) -> DataFrame:
+    """(a, b, interval, side): a row for each side of each pair of intervals that may hold a link. Tasks take intervals
+    against all boxes, which they get in parts of bounded size."""
+    parts = boxes.groupBy(F.shiftright("interval", 32).alias("part")).count().orderBy("part").collect()
+    chunks: list[list[int]] = [[]]
+    held = 0
+    for r in parts:
+        if held and held + r["count"] > BROADCAST_BOXES:
+            chunks.append([])
+            held = 0
+        chunks[-1].append(r["part"])
+        held += r["count"]
+    sides = [f"{f}_{c}" for f in ("min", "max") for c in names]
+
+    def against(chunk: list[int]) -> DataFrame:
+        other = boxes.filter(F.shiftright("interval", 32).between(chunk[0], chunk[-1])).orderBy("interval").toPandas()
+        shared = boxes.sparkSession.sparkContext.broadcast((other["interval"].to_numpy(), other[sides[: len(names)]].to_numpy(), other[sides[len(names) :]].to_numpy()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key, lo2, hi2 = shared.value
+            for batch in batches:
+                own = batch.column("interval").to_numpy()
+                lo, hi = (np.stack([batch.column(c).to_numpy() for c in x], axis=1) for x in (sides[: len(names)], sides[len(names) :]))
+                order = np.argsort(own)
+                found = [(own[order[i]], key[j]) for i, j in near_intervals(lo[order], hi[order], epsilon, lo2, hi2)]
+                rows = [(a, b, x, s) for a, b in found if a <= b for s, x in enumerate((a, b)) if s == 0 or a != b]
+                columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "interval", "side"])
+
+        return boxes.mapInArrow(run, "a long, b long, interval long, side long")
+
+    out = against(chunks[0])
+    for chunk in chunks[1:]:
+        out = out.union(against(chunk))
+    return out
+
+
 def _of_dimension(heads: DataFrame, n: int, d: int, cosine: float) -> DataFrame:
     """heads: id, m, embedding of d components. Rows (id, linked, other): rows linked within one pair of intervals, and
     a vector that it is joined with there."""
     epsilon = float(np.sqrt(2 - 2 * cosine)) + 1e-9
-    sample = np.array([r[0] for r in heads.orderBy(F.xxhash64("id")).limit(AXES_FROM).select("embedding").collect()], np.float64).reshape(-1, d)
-    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
-    axes = np.ascontiguousarray(np.linalg.eigh(sample.T @ sample - len(sample) * np.outer(sample.mean(0), sample.mean(0)))[1][:, ::-1][:, :AXES])
+    axes = _axes(heads, n, d)
     names = [f"y{k}" for k in range(axes.shape[1])]
     cells = [f"c{k}" for k in range(axes.shape[1])]
 
@@ -119,7 +174,7 @@ def _of_dimension(heads: DataFrame, n: int, d: int, cosine: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("m"), packed, *(pa.array(v) for v in y.T), *(pa.array(np.floor(v / epsilon).astype(np.int32)) for v in y.T)], names=["id", "m", "x", *names, *cells])
 
     projected = heads.mapInArrow(project, "id long, m long, x binary, " + ", ".join([f"{c} double" for c in names] + [f"{c} int" for c in cells]))
-    rows = max(LEAF, -(-n // INTERVALS), min(INTERVAL_ROWS, -(-n // 24)))
+    rows = interval_rows(n, d, heads.sparkSession.sparkContext.defaultParallelism)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -132,22 +187,19 @@ def _of_dimension(heads: DataFrame, n: int, d: int, cosine: float) -> DataFrame:
 
     ordered = materialize(projected, "projected").repartitionByRange(*cells, "id").sortWithinPartitions(*cells, "id").drop(*cells)
     ordered = materialize(ordered.mapInArrow(number, "interval long, id long, m long, x binary, " + ", ".join(f"{c} double" for c in names)), "grid order")
-    boxes = ordered.groupBy("interval").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in names]).orderBy("interval").toPandas()
-    key = boxes["interval"].to_numpy()
-    pairs = [(int(key[i]), int(key[j])) for i, j in near_intervals(boxes[[f"min_{c}" for c in names]].to_numpy(), boxes[[f"max_{c}" for c in names]].to_numpy(), epsilon)]
-    sides = pd.DataFrame([(k, i, s) for k, p in enumerate(pairs) for s, i in enumerate(p) if s == 0 or p[0] != p[1]], columns=["pair", "interval", "side"]).astype("int64")
-    sides = heads.sparkSession.createDataFrame(sides)
-    sent = ordered.join(F.broadcast(sides) if len(pairs) <= BROADCAST_PAIRS else sides, "interval")
+    boxes = materialize(ordered.groupBy("interval").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in names]), "boxes")
+    sides = materialize(_pairs(boxes, names, epsilon), "interval pairs")
+    sent = ordered.join(F.broadcast(sides) if sides.count() <= BROADCAST_PAIRS else sides, "interval")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["side", "id"] if not names else ["side", *names[:1]], kind="stable")
+        pdf = pdf.sort_values(["side", *names[:1]], kind="stable")
         x = np.frombuffer(b"".join(pdf["x"]), np.float64).reshape(-1, d)
         split = int((pdf["side"] == 0).sum())
         linked, label = join_blocks(x, pdf[names].to_numpy(), pdf["m"].to_numpy(), split, cosine, epsilon)
         ids, some = pdf["id"].to_numpy(), linked > 0
         return pd.DataFrame({"id": ids[some], "linked": linked[some], "other": ids[label[some]]})
 
-    return sent.groupBy("pair").applyInPandas(compare, "id long, linked long, other long")
+    return sent.groupBy("a", "b").applyInPandas(compare, "id long, linked long, other long")
 
 
 def link_vectors(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
@@ -156,25 +208,40 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     Two vectors are linked if they have as many components and their cosine, in double precision, is at least `cosine`;
     component_id is the least vec_id that links reach. A vector that is null, empty or zero, or has null or non-finite
     components, links with nothing, and so does a row with a null vec_id, which is kept. Equal vectors are one class
-    from the start and cost one comparison. Rows with one vec_id are one vector as to components. An empty table gives no rows."""
+    from the start and cost one comparison. Rows with one vec_id and different vectors are one as to components, and
+    each has its own vector's n_links. An empty table gives no rows."""
     v = vectors.select("vec_id", "embedding")
     fit = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     v = v.withColumn("fit", F.coalesce(fit & F.col("vec_id").isNotNull(), F.lit(False)))
     hashes = [F.when(F.col("fit"), F.xxhash64(F.lit(s), "embedding")).alias(f"h{s}") for s in (1, 2)]
-    classes = v.filter("fit").select("vec_id", "embedding", *hashes).groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("m"), F.any_value("embedding").alias("embedding"))
-    heads = materialize(classes.withColumn("d", F.size("embedding")), "vector classes")
-    found = [_of_dimension(heads.filter(F.col("d") == r["d"]).select("id", "m", "embedding"), r["count"], r["d"], cosine) for r in heads.groupBy("d").count().orderBy("d").collect() if r["count"] > 1]
-    named = heads.select("h1", "h2", "id", "m")
+    named = v.filter("fit").select("vec_id", "embedding", *hashes)
+    classes = named.groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("m"), F.any_value("embedding").alias("embedding"))
+    heads = materialize(classes.withColumns({"d": F.size("embedding"), "node": F.monotonically_increasing_id()}), "vector classes")
+    found = [_of_dimension(heads.filter(F.col("d") == r["d"]).select(F.col("node").alias("id"), "m", "embedding"), r["count"], r["d"], cosine) for r in heads.groupBy("d").count().orderBy("d").collect() if r["count"] > 1]
+    about = heads.select("h1", "h2", "node", "id", "m")
+    ids = named.select("vec_id", "h1", "h2").distinct().groupBy("vec_id").agg(F.count("*").alias("n")).filter("n > 1").select("vec_id")
     if found:
         links = found[0]
         for f in found[1:]:
             links = links.union(f)
         links = materialize(links, "vector links")
-        parts = connected_components(links.select(F.col("id").alias("a"), F.col("other").alias("b")))
-        named = named.join(links.groupBy("id").agg(F.sum("linked").alias("linked")), "id", "left").join(parts, "id", "left")
+        edges = links.select(F.col("id").alias("a"), F.col("other").alias("b"))
+        linked = links.groupBy(F.col("id").alias("node")).agg(F.sum("linked").alias("linked"))
+        about = about.join(linked, "node", "left")
+    else:
+        edges, about = None, about.withColumn("linked", F.lit(0).cast("long"))
+    if not ids.isEmpty():  # rows with one vec_id join their vectors
+        several = named.select("vec_id", "h1", "h2").join(ids, "vec_id", "left_semi").join(heads.select("h1", "h2", "node"), ["h1", "h2"]).select("vec_id", "node").distinct()
+        joined = several.join(several.groupBy("vec_id").agg(F.min("node").alias("b")), "vec_id").select(F.col("node").alias("a"), "b")
+        edges = joined if edges is None else edges.union(joined)
+    if edges is None:
+        about = about.withColumn("component_id", F.col("id"))
     else:
-        named = named.withColumns({"linked": F.lit(0).cast("long"), "component_id": F.col("id")})
-    out = v.select("vec_id", *hashes).join(named, ["h1", "h2"], "left")
+        parts = connected_components(edges).withColumnsRenamed({"id": "node", "component_id": "label"})
+        parts = materialize(parts.join(heads.select("node", "id"), "node"), "vector parts")
+        least = parts.groupBy("label").agg(F.min("id").alias("component_id"))
+        about = about.join(parts.select("node", "label").join(least, "label").select("node", "component_id"), "node", "left")
+    out = v.select("vec_id", *hashes).join(about, ["h1", "h2"], "left")
     part = F.coalesce("component_id", "id", "vec_id")
     out = out.select("vec_id", F.coalesce(F.coalesce("linked", F.lit(0)) + F.col("m") - 1, F.lit(0)).cast("long").alias("n_links"), part.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -29,6 +29,14 @@ def links(ids, vectors, cosine):
                 least = min([part[a], *(part[at[j]] for j in np.flatnonzero(row))])
                 changed |= least < part[a]
                 part[a] = least
+    changed = True
+    while changed:  # rows with one id, and all that their links reach
+        changed = False
+        for k in good:
+            to = min(part[j] for j in good if ids[j] == ids[k])
+            if to < part[k]:
+                old, changed = part[k], True
+                part = [to if p == old and j in set(good) else p for j, p in enumerate(part)]
     return sorted(zip(ids, n, part, strict=True), key=repr)
 
 
@@ -46,6 +54,25 @@ def test_links_odd(spark):
     assert embjoin.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_links_of_repeated_ids(spark):
+    rng = np.random.default_rng(44)
+    x = rng.normal(size=(12, 6))[rng.integers(0, 12, 120)] + rng.normal(size=(120, 6)) * 0.2
+    compare(spark, [(int(i), [float(v) for v in r], 1, 2, "x") for i, r in zip(rng.integers(0, 100, 120), x, strict=True)])
+    compare(spark, [(5, [1.0, 0.0], 1, 2, "x"), (5, [0.0, 1.0], 1, 2, "x"), (6, [1.0, 0.01], 1, 2, "x"), (2, [-1.0, 0.0, 0.0], 1, 2, "x"), (5, [0.0, 0.0], 1, 2, "x")])
+    compare(spark, [(5, [1.0, 0.0], 1, 2, "x"), (5, [1.0], 1, 2, "x"), (3, [2.0], 1, 2, "x")])
+
+
+def test_intervals_are_bounded(spark, monkeypatch):
+    """Many intervals, whose pairs are made against boxes in parts, and none above the bound."""
+    assert all(embjoin.interval_rows(n, d, t) * 8 * d <= embjoin.INTERVAL_BYTES for n in (10, 10**6, 10**12) for d in (2, 64, 4096) for t in (1, 6000))
+    monkeypatch.setattr(embjoin, "INTERVAL_BYTES", 40 * 8 * 5)
+    monkeypatch.setattr(embjoin, "BROADCAST_BOXES", 3)
+    monkeypatch.setattr(embjoin, "BROADCAST_PAIRS", 3)
+    rng = np.random.default_rng(45)
+    x = rng.normal(size=(9, 5))[rng.integers(0, 9, 700)] + rng.normal(size=(700, 5)) * 0.2
+    compare(spark, [(int(i), [float(v) for v in r], 1, 2, "x") for i, r in enumerate(x)])
+
+
 @pytest.mark.parametrize("d, n", [(3, 900), (16, 1500), (2, 50)])
 def test_links(spark, d, n):
     rng = np.random.default_rng(d)
