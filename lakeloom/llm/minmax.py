@@ -233,7 +233,8 @@ def _beside_centre(found: DataFrame, percent: int) -> DataFrame:
             pairs = _forest(np.stack([ids[i][r], ids[j][c]], axis=1))
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
-    return x.union(y).groupBy("c", "xb", "yb").applyInArrow(compare, "a long, b long")
+    # dealt by all three: the join before has dealt rows by centre, and grouping alone would keep one's blocks in one task
+    return x.union(y).repartition("c", "xb", "yb").groupBy("c", "xb", "yb").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 30, rows: int = 5) -> DataFrame:
