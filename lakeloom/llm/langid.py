@@ -4,6 +4,8 @@ language proportions, and a penalised likelihood selects how many languages it h
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,14 +23,27 @@ PLACES = 1 << 16
 SMOOTH = 0.5
 #: Rounds of expectation-maximisation for all languages, and for each smaller set of them.
 ROUNDS, SET_ROUNDS = 6, 4
-#: Words whose likelihoods a worker keeps.
-KEPT_WORDS = 400_000
-#: Words of texts that are worked on together.
-BATCH_WORDS = 1 << 18
+#: Likelihoods, one for a word and language, that a worker keeps, and those that are worked on together.
+KEPT_CELLS, BATCH_CELLS = 2_000_000, 1 << 20
 
 COUNTS = pa.schema([("lang", pa.string()), ("gram", pa.int32()), ("n", pa.int64())])
 ROWS = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("languages", pa.list_(pa.string()))])
-_WORD = re.compile(r"[^\W\d_]+")
+
+
+def _marks() -> str:
+    """The combining marks, as ranges of a character class: in many scripts they are the vowels of a word."""
+    found, first = [], None
+    for c in range(sys.maxunicode + 2):
+        mark = c <= sys.maxunicode and unicodedata.category(chr(c))[0] == "M"
+        if mark and first is None:
+            first = c
+        elif not mark and first is not None:
+            found.append(f"\\U{first:08x}-\\U{c - 1:08x}")
+            first = None
+    return "".join(found)
+
+
+_WORD = re.compile(rf"[^\W\d_](?:[^\W\d_]|[{_marks()}])*")
 
 
 def words_of(text: str) -> list[str]:
@@ -98,18 +113,36 @@ class Mixer:
     def _places(self, words: list[str]) -> list[int]:
         new = list(set(words).difference(self.known))
         if new:
-            if len(self.known) > KEPT_WORDS:
+            if (len(self.known) + len(new)) * self.likely.shape[1] > KEPT_CELLS:
                 self.known.clear()
+                self.likely = np.zeros((1024, self.likely.shape[1]))
                 new = list(set(words))
-            grams, first = trigrams(new)
-            likely = np.add.reduceat(self.model.table[grams], first)
             n = len(self.known)
             if n + len(new) > len(self.likely):
                 self.likely = np.concatenate([self.likely, np.zeros((len(self.likely) + len(new), self.likely.shape[1]))])
-            self.likely[n : n + len(new)] = likely
+            at = 0
+            while at < len(new):  # trigrams of so many words that their likelihoods are as many as a batch's
+                to, held = at, 0
+                while to < len(new) and (held == 0 or (held + len(new[to])) * self.likely.shape[1] <= BATCH_CELLS):
+                    held += len(new[to])
+                    to += 1
+                grams, first = trigrams(new[at:to])
+                self.likely[n + at : n + to] = self._sums(grams, first)
+                at = to
             self.known.update(zip(new, range(n, n + len(new)), strict=True))
         return list(map(self.known.__getitem__, words))
 
+    def _sums(self, grams: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Log-likelihoods of words; a very long one's trigrams are summed in parts."""
+        step = max(1, BATCH_CELLS // self.likely.shape[1])
+        if len(grams) <= step:
+            return np.add.reduceat(self.model.table[grams], first)
+        out = np.zeros((len(first), self.likely.shape[1]))
+        owner = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(grams))))
+        for k in range(0, len(grams), step):
+            np.add.at(out, owner[k : k + step], self.model.table[grams[k : k + step]])
+        return out
+
     def batch(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """(proportions under all languages, proportions under the selected set), a row for each list of words, none of
         which is empty."""
@@ -172,7 +205,7 @@ def predict(docs: DataFrame, model: Model, whole_rows: bool = False) -> DataFram
             at = 0
             while at < len(some):
                 to, held = at, 0
-                while to < len(some) and (held == 0 or held + len(lists[some[to]]) <= BATCH_WORDS):
+                while to < len(some) and (held == 0 or (held + len(lists[some[to]])) * len(names) <= BATCH_CELLS):
                     held += len(lists[some[to]])
                     to += 1
                 full, selected = mixer.batch([lists[i] for i in some[at:to]])
