@@ -39,8 +39,12 @@ def byte_letters() -> dict[int, str]:
 
 
 class MergeEncoder:
-    """encode(text) for a byte-level vocabulary file, by tiktoken. Both libraries divide by the same pattern and merge the
-    pair that the file ranks first, so the ids agree. Two kinds of texts go to the tokenizers library: those with one
+    """encode(text) for a byte-level vocabulary file, by tiktoken, with the ids that the tokenizers library gives. reads()
+    lets only files pass for which that holds: no normalizer; the byte-level pre-tokenizer with its own pattern, no space
+    put in front; plain BPE whose ids rank its merges, with all bytes among its tokens and nothing beside them. Both
+    libraries then divide a text by one pattern, whose three classes (letters, numbers, white space) are told apart alike
+    for every code point, which the tests go through one by one; and within a piece both merge the pair that ranks
+    first, the leftmost of equals, until none is left, so the ids are the same. Two kinds of texts go to the tokenizers library: those with one
     of the file's added tokens, and those that tiktoken's pattern can't read for a white-space run of millions."""
 
     def __init__(self, path: str, said: dict):
