@@ -19,11 +19,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers.pre_tokenizers import ByteLevel
 
 from lakeloom.llm.encode import byte_letters
 from lakeloom.llm.runtime import record, small_batches, texts, worker_state
@@ -82,13 +84,19 @@ def dividing_transducer() -> tuple[np.ndarray, np.ndarray]:
 
 
 def character_classes() -> np.ndarray:
-    """Class by code point; the last entry is the mark that ends a text."""
+    """Class by code point; the last entry is the mark that ends a text. The libraries at hand know different versions of
+    Unicode: where two of them disagree on a code point, the tokenizers library's own division decides."""
     out = np.full(0x110001, OTHER, np.uint8)
     everything = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     for pattern, c in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\s+", WHITE)):
         for m in regex.finditer(pattern, everything):
             out[ord(m[0][0]) : ord(m[0][-1]) + 1] = c
     out[0xD800:0xE000] = out[0x1C:0x20] = OTHER  # the library's white space is Unicode's
+    pieces = ByteLevel(add_prefix_space=False).pre_tokenize_str
+    for c in everything:
+        if out[ord(c)] != {"L": LETTER, "N": NUMBER, "Z": WHITE}.get(category(c)[0], OTHER) and ord(c) > 0xFF:
+            alike = (k for k, x in ((LETTER, "a"), (NUMBER, "1"), (OTHER, "!")) if len(pieces(x + c)) == 1)
+            out[ord(c)] = next(alike, WHITE)
     for chars, c in ((" ", SPACE), ("'", QUOTE), ("stmd", STMD), ("r", R), ("v", V), ("l", L), ("e", E)):
         out[[ord(x) for x in chars]] = c
     out[0x110000] = RESET
