@@ -23,6 +23,8 @@ SHARED = pa.schema([("fingerprint", pa.string()), ("packed", pa.binary())])
 NULL_KEY = -(1 << 63)
 #: Hexadecimal digits of a fingerprint that place it in the map of shared ones: 2**20 bits, whatever the data's size.
 MAP_DIGITS = 5
+#: Buckets at most, and keys whose quantiles part them.
+MOST_BUCKETS, QUANTILE_KEYS = 1 << 16, 1 << 21
 #: Bytes of canonical texts that a task remembers while it compares copies.
 REMEMBERED = 32 << 20
 
@@ -56,8 +58,11 @@ def _deal(docs: DataFrame) -> DataFrame | None:
     bucket stands also, as its tail, in the one before it, and the first of all in the last one."""
     spark = docs.sparkSession
     keys = docs.select(F.coalesce("doc_id", F.lit(NULL_KEY)).alias("k"))
-    buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = keys.approxQuantile("k", [i / buckets for i in range(1, buckets)], 0.2 / buckets)
+    buckets = min(MOST_BUCKETS, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    bound = 1 << 40  # quantiles of a share of the keys, so that what tasks send doesn't grow with their number
+    share = min(bound, bound * QUANTILE_KEYS // max(keys.count(), 1))
+    some = keys.filter(F.pmod(F.xxhash64("k"), F.lit(bound)) < share) if share < bound else keys
+    cuts = some.approxQuantile("k", [i / buckets for i in range(1, buckets)], 0.2 / buckets)
     splits = np.unique(np.array(cuts, np.float64)).clip(-(2.0**63), 2.0**63 - 1024).astype(np.int64)
 
     def first_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
