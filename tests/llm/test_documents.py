@@ -141,6 +141,58 @@ def test_language_mixture(docs):
     assert [names[i] for i in np.flatnonzero(selected[1])] == ["de"]
 
 
+def test_expectation_maximisation():
+    """Proportions and the set of languages, against the plain form of both."""
+    rng = np.random.default_rng(22)
+    names = ["a", "b", "c", "d"]
+    table = np.log(rng.dirichlet(np.full(langid.PLACES, 0.3), len(names)).T + 1e-9)
+    model = langid.Model(names, table)
+    words = ["".join(rng.choice(list("abcdefgh"), rng.integers(1, 9))) for _ in range(60)]
+    lists = [list(rng.choice(words, n)) for n in (1, 2, 5, 40, 300)]
+    like = {w: [sum(table[g][k] for g in langid.trigrams([w])[0].tolist()) for k in range(4)] for w in words}
+
+    def em(x, theta, rounds):
+        for _ in range(rounds):
+            new = [0.0] * 4
+            for w in x:
+                p = [t * math.exp(v - max(like[w])) for t, v in zip(theta, like[w], strict=True)]
+                new = [a + b / max(sum(p), 1e-300) for a, b in zip(new, p, strict=True)]
+            theta = [a / len(x) for a in new]
+        value = sum(math.log(max(sum(t * math.exp(v - max(like[w])) for t, v in zip(theta, like[w], strict=True)), 1e-300)) + max(like[w]) for w in x)
+        return theta, value
+
+    full, selected = langid.Mixer(model).batch(lists)
+    for x, f, s in zip(lists, full, selected, strict=True):
+        theta, _ = em(x, [0.25] * 4, langid.ROUNDS)
+        assert np.allclose(f, theta, atol=1e-9)
+        penalty = 0.5 * math.log(len(x))
+        single = [sum(like[w][k] for w in x) for k in range(4)]
+        best, want = max(single) - penalty, {names[int(np.argmax(single))]}
+        order = sorted(range(4), key=lambda k: -theta[k])
+        for n in range(2, 5):
+            t, value = em(x, [1 / n if k in order[:n] else 0.0 for k in range(4)], langid.SET_ROUNDS)
+            if value - n * penalty <= best:
+                break
+            best, want = value - n * penalty, {names[k] for k in order[:n] if t[k] > 0}
+        assert {names[k] for k in np.flatnonzero(s)} == want
+
+
+def test_language_memory_is_bounded(docs, monkeypatch):
+    model, texts = langid.learn(docs), [langid.words_of(t) for (t,) in rows(docs.limit(60), "text")] + [["x" * 5000, "the"]]
+    texts = [x for x in texts if x]
+    want = langid.Mixer(model).batch(texts)
+    monkeypatch.setattr(langid, "KEPT_CELLS", 400)
+    monkeypatch.setattr(langid, "BATCH_CELLS", 1000)
+    mixer = langid.Mixer(model)
+    for x, full in zip(texts, want[0], strict=True):
+        assert np.allclose(mixer.batch([x])[0][0], full)
+        assert len(mixer.likely) <= 3072 + 2 * len(set(x))
+
+
+def test_words_keep_their_vowel_signs():
+    assert langid.words_of("हिन्दी भाषा, ภาษาไทย 12 caf\u0065\u0301 x_y") == ["हिन्दी", "भाषा", "ภาษาไทย", "cafe\u0301", "x", "y"]
+
+
 # 3 ------------------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("which", ["docs", "odd", "none"])
 def test_token_files(which, request, spark, tmp_path):
@@ -412,6 +464,17 @@ def test_states_are_bounded(monkeypatch):
     assert machine.count(texts).tolist() == [len(lib(t)) for t in texts] and len(machine.machine.states) < 300 + 300
 
 
+def test_every_code_point_is_divided_alike():
+    """tiktoken, the transducers and the tokenizers library on each code point, beside letters, digits, signs and spaces."""
+    enc, machine = make_encoder(BYTE), fst_tokens.TokenCounter(BYTE)
+    points = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x110000)]]
+    for form in ("a{0}b", "1{0}{0}2", " {0}!", "{0} {0}'s"):
+        texts = [" | ".join(form.format(c) for c in points[k : k + 64]) for k in range(0, len(points), 64)]
+        want = [e.ids for e in enc.library.encode_batch(texts, add_special_tokens=False)]
+        assert [enc.encode(t) for t in texts] == [array("I", x).tobytes() for x in want]
+        assert machine.count(texts).tolist() == list(map(len, want))
+
+
 # 10 -----------------------------------------------------------------------------------------------------------------
 def edited_brute(table):
     order = sorted(rows(table, "doc_id", "text"), key=lambda r: (r[0] is not None, r[0] or 0))
