@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm import cdc, langid, minmax, mixing, packing
 from lakeloom.llm.queries import END_ID, vocabulary
-from lakeloom.llm.runtime import materialize
+from lakeloom.llm.runtime import empty_scratch, materialize, scratch_mark
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,12 +53,14 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeats", repeats), ("mix", mix), ("pack", pack)]
 
-#: Language models, signatures and tokenizers have no SQL; tests compare the stages with brute force.
+#: Language models, signatures and tokenizers have no SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """STAGES applied to documents. Once a stage's result is written, what it and the stages before it had written goes."""
+    docs, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch_mark()
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage {name}")
+        empty_scratch(spark, mark, (docs,))
     return STAGES[-1][1](spark, docs, sf_dir)
