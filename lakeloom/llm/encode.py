@@ -16,7 +16,7 @@ from lakeloom.llm.runtime import worker_state
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pieces kept by a worker of a PieceEncoder; beyond this many the memory starts anew.
+#: Pieces, and words of them, that a worker of a PieceEncoder keeps at most.
 REMEMBERED = 800_000
 
 #: Characters that not every library holds to be white space, or that are white space below PLAIN.
@@ -26,6 +26,9 @@ _ODD_SPACE = re.compile(r"[\x09\x0b-\x0d\x1c-\x1f\x85\xa0]")
 SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 DROPPED = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+#: Signs that end words, each of which is a piece of its own after letters.
+ENDINGS = frozenset(".,;:!?")
+
 #: Below this code point, case and classes are the same in every library.
 PLAIN = "ɐ"
 
@@ -79,6 +82,24 @@ class MergeEncoder:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
 
+class _Pieces(dict):
+    """Ids by piece, found when first asked for. Pieces that were asked for since half of those remembered were new are
+    kept; others go."""
+
+    def __init__(self, find, remembered: int):
+        self.find, self.half, self.older = find, remembered // 2, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.half:
+            self.older = dict(self)
+            self.clear()
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.find(piece)
+        self[piece] = ids
+        return ids
+
+
 class PieceEncoder:
     """encode(text) gives the ids as little-endian unsigned 32-bit integers, equal to what the library gives for the
     whole text.
@@ -94,9 +115,7 @@ class PieceEncoder:
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.spaced = self.library.encode(" ", add_special_tokens=False).ids != []
-        self.remembered = remembered
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.known, self.words = _Pieces(self._piece, remembered), _Pieces(self._tokens, remembered)
         self.divide = regex.compile(DROPPED).findall
         self.letters = byte_letters()
 
@@ -107,41 +126,24 @@ class PieceEncoder:
         shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            ids = self.words[word] = self._tokens(word)
-        return ids
-
     def _piece(self, piece: str) -> bytes:
         if not piece.isascii():
             if max(piece) >= PLAIN:
                 return self._whole(piece)
             piece = unicodedata.normalize("NFC", piece)
+        low = piece.lower()
+        if low.isalpha():  # one word
+            return self.words[low] if low in self.words else self._tokens(low)
+        if low[:-1].isalpha() and low[-1] in ENDINGS:
+            return self.words[low[:-1]] + self.words[low[-1]]
         if not piece or "<" in piece or _ODD_SPACE.search(piece):
             return self._whole(piece)
-        words = self.divide(piece.lower())
-        if words == [piece] and piece not in self.words:  # it is remembered as a piece, so not a second time as a word
-            return self._tokens(piece)
-        return b"".join(map(self._word, words))
-
-    def _learn(self, keys: list[str]) -> None:
-        if len(self.known) > self.remembered:
-            self.known.clear()
-        if len(self.words) > self.remembered:
-            self.words.clear()
-        for key in set(keys).difference(self.known):
-            self.known[key] = self._piece(key)
+        return b"".join(map(self.words.__getitem__, self.divide(low)))
 
     def encode(self, text: str) -> bytes:
         if self.spaced:
             return self._whole(text)
-        pieces = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.known.__getitem__, pieces))
-        except KeyError:
-            self._learn(pieces)
-            return b"".join(map(self.known.__getitem__, pieces))
+        return b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def make_encoder(path: str, remembered: int = REMEMBERED) -> MergeEncoder | PieceEncoder:
