@@ -17,7 +17,7 @@ from lakeloom.llm.runtime import worker_state
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces, and words of them, that a worker of a PieceEncoder keeps at most.
-REMEMBERED = 800_000
+REMEMBERED = 600_000
 
 #: Characters that not every library holds to be white space, or that are white space below PLAIN.
 _ODD_SPACE = re.compile(r"[\x09\x0b-\x0d\x1c-\x1f\x85\xa0]")

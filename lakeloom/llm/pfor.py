@@ -26,7 +26,7 @@ BLOCK = 128
 #: The share of a block's values that must fit the packed width; the rest become exceptions.
 PERCENTILE = 90
 #: Ids in a file: it closes with the document that reaches this.
-IMAGE_IDS = 1 << 23
+IMAGE_IDS = 1 << 22
 #: Blocks that are packed or unpacked at once.
 RUN_BLOCKS = 4096
 MAGIC = b"LPF2"
@@ -164,8 +164,9 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
         keys, found, held, start = [], [], 0, 0
 
         def image():
-            ids = np.frombuffer(b"".join(found), "<u4")
-            return record(FILES, image=[write_image(keys, [len(x) // 4 for x in found], ids, part, start)])
+            lengths, ids = [len(x) // 4 for x in found], np.frombuffer(b"".join(found), "<u4")
+            found.clear()
+            return record(FILES, image=[write_image(keys, lengths, ids, part, start)])
 
         for batch in batches:
             for key, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
