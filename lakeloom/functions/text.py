@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import re
@@ -41,11 +42,63 @@ def xml_escape(text: Column) -> Column:
     return text
 
 
-def looks_like_text(text: Column) -> Column:
-    """Less than three tenths of the first 1,024 characters are not printable; empty is not text."""
-    head = F.substring(text, 1, 1024)
-    odd = F.char_length(head) - F.char_length(F.regexp_replace(head, r"[\x00-\x08\x0E-\x1F\x7F]", ""))
-    return (F.char_length(head) > 0) & (odd / F.greatest(F.char_length(head), F.lit(1)) < 0.3)
+def looks_like_text(content: Column) -> Column:
+    """Less than three tenths of the first 1,024 bytes are neither printable ASCII nor white space; empty is not text."""
+    head = F.decode(F.substr(content, F.lit(1), F.lit(1024)), "ISO-8859-1")
+    odd = F.char_length(head) - F.char_length(F.regexp_replace(head, r"[^\x21-\x7E \t\n\f\r]", ""))
+    return odd * 10 < F.char_length(head) * 3
+
+
+def percent_encode(text: Column, keep: str = r"[A-Za-z0-9\-_.~/]") -> Column:
+    """Each other character as % and its code point in hexadecimal, two digits at least."""
+    code = lambda c: F.hex(F.ascii(c).cast("long"))
+    one = lambda c: F.when(c.rlike(f"^{keep}$"), c).otherwise(F.concat(F.lit("%"), F.when(F.length(code(c)) < 2, F.concat(F.lit("0"), code(c))).otherwise(code(c))))
+    return F.when(text == "", "").otherwise(F.array_join(F.transform(F.split(text, ""), one), ""))
+
+
+def hex_dump(content: Column, most: int = 256) -> Column:
+    """The first bytes in rows of sixteen, in hexadecimal and as ASCII with a dot for what can't be shown."""
+    head = F.substr(content, F.lit(1), F.lit(most))
+    shown, digits = F.regexp_replace(F.decode(head, "ISO-8859-1"), r"[^\x20-\x7E]", "."), F.lower(F.hex(head))
+    pairs = lambda i: F.rpad(F.regexp_replace(F.substr(digits, i * 32 + 1, F.lit(32)), "(..)(?!$)", "$1 "), 47, " ")
+    row = lambda i: F.concat(pairs(i), F.lit("  "), F.substr(shown, i * 16 + 1, F.lit(16)))
+    n = F.octet_length(head)
+    return F.when(n == 0, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 16).cast("int")), row), "\n"))
+
+
+def preview(path: Column, content: Column) -> Column:
+    """A short description of a file by its type: tensors of a safetensors file, what marks a Parquet or Arrow file, text of
+    Zarr descriptions, else the size and a dump of the first bytes."""
+    size = F.octet_length(content).cast("string")
+    kind = content_type(path)
+    table = F.pandas_udf(lambda c: c.map(lambda b: None if b is None else _tensor_lines(bytes(b))), "string")
+    parquet = F.when(F.substr(content, F.lit(1), F.lit(4)) == F.lit("PAR1").cast("binary"), F.concat(F.lit("Parquet: "), size, F.lit(" bytes"))).otherwise("not a Parquet file")
+    out = F.when(kind == "safetensors", table(F.when(kind == "safetensors", content))).when(kind == "parquet", parquet).when(kind == "arrow", F.concat(F.lit("Arrow: "), size, F.lit(" bytes")))
+    return out.when(kind == "zarr", F.concat(F.lit("Zarr: "), xml_escape(utf8(content)))).otherwise(F.concat(F.lit("Binary ("), size, F.lit(" bytes)\n"), hex_dump(content)))
+
+
+def _tensor_lines(data: bytes) -> str:
+    try:
+        return "\n".join(f"{n} {t} {' x '.join(map(str, shape))}" for n, t, shape, _, _ in tensor_header(data))
+    except (ValueError, KeyError, AttributeError):
+        return "not a safetensors file"
+
+
+def hash_parts(parts: Column) -> Column:
+    """SHA-256 of an array of contents one after the other, as a running hash over them gives it."""
+    return F.sha2(F.unhex(F.array_join(F.transform(parts, lambda p: F.hex(p)), "")), 256)
+
+
+def from_hex(text: Column) -> Column:
+    """The 32 bytes of a hash in hexadecimal; null for any other text."""
+    return F.when(text.rlike("^[0-9a-fA-F]{64}$"), F.unhex(text))
+
+
+def hmac_sha256(key: bytes, message: Column) -> Column:
+    """HMAC of a message's bytes, in lower-case hexadecimal."""
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.unhex(F.lit(bytes(b ^ x for b in block).hex())) for x in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message), 256))), 256)
 
 
 def json_strings(value) -> list[str]:
@@ -138,8 +191,48 @@ def _json_text(text: str) -> str:
         return text
 
 
-#: Extractors of binary formats, by suffix; files of other suffixes are read as UTF-8 or have no text.
-BINARY = {"docx": office_text, "xlsx": office_text, "pptx": office_text, "pdf": pdf_text, "zarr": zarr_text}
+def identifier_strings(data: bytes) -> str:
+    """Texts of letters, digits and _-. / that a big-endian length of four bytes stands before."""
+    out, i = [], 0
+    while i + 4 < len(data):
+        n = int.from_bytes(data[i : i + 4], "big")
+        part = data[i + 4 : i + 4 + n]
+        if 0 < n <= 256 and len(part) == n and _IDENTIFIER.fullmatch(part):
+            out.append(part.decode())
+            i += 4 + n
+        else:
+            i += 1
+    return " ".join(out)
+
+
+_IDENTIFIER = re.compile(rb"[A-Za-z0-9_][A-Za-z0-9_\-. /]*")
+
+
+def parquet_names(data: bytes) -> str:
+    """Column names of a Parquet file, from its footer."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    try:
+        return " ".join(pq.read_schema(io.BytesIO(data)).names) if data[:4] == b"PAR1" else ""
+    except (pa.ArrowException, OSError):
+        return ""
+
+
+def arrow_names(data: bytes) -> str:
+    """Column names of an Arrow file."""
+    import pyarrow as pa
+
+    try:
+        return " ".join(pa.ipc.open_file(io.BytesIO(data)).schema.names) if data[:6] == b"ARROW1" else ""
+    except (pa.ArrowException, OSError):
+        return ""
+
+
+#: Suffixes of texts, and of files without any; extractors of the other formats by suffix.
+TEXTS = "txt md rst log cfg ini env gitignore dockerignore rs py go ts js jsx tsx c cpp h java cs rb php swift kt scala sh bash zsh fish toml yaml yml xml html htm css scss sql".split()
+NO_TEXT = "png jpg jpeg gif bmp webp tiff tif svg mp3 wav flac ogg m4a aac safetensors gguf ggml pt pth bin npz npy".split()
+BINARY = {"docx": office_text, "doc": office_text, "xlsx": office_text, "xls": office_text, "pptx": office_text, "ppt": office_text, "pdf": pdf_text, "zarr": zarr_text, "parquet": parquet_names, "arrow": arrow_names, "ipc": arrow_names, "feather": arrow_names}
 
 
 def extract_binary(content: Column, suffix: str) -> Column:
@@ -148,6 +241,18 @@ def extract_binary(content: Column, suffix: str) -> Column:
     return F.pandas_udf(lambda s: s.map(lambda b: "" if b is None else f(bytes(b))), "string")(content)
 
 
+def extract_text(path: Column, content: Column) -> Column:
+    """Text of a file by its suffix. Texts and tables are read without Python; only the contents of JSON and of binary formats
+    go to it. A file of another suffix is text if it looks like it."""
+    ext, text = extension(path), utf8(content)
+    by_suffix = F.pandas_udf(lambda e, c: pd.Series([None if b is None or x not in BINARY else BINARY[x](bytes(b)) for x, b in zip(e, c, strict=True)]), "string")
+    binary = ext.isin(*BINARY)
+    out = F.when(content.isNull(), "").when(ext.isin(*TEXTS), text).when(ext.isin(*NO_TEXT), "")
+    out = out.when(ext == "json", extract_json(F.when(ext == "json", text))).when(ext.isin("jsonl", "ndjson"), extract_json_lines(F.when(ext.isin("jsonl", "ndjson"), text)))
+    out = out.when(ext == "csv", csv_cells(text)).when(ext == "tsv", csv_cells(text, "\t")).when(binary, by_suffix(ext, F.when(binary, content)))
+    return out.when(looks_like_text(content), text).otherwise("")
+
+
 def extract_json_lines(text: Column) -> Column:
     """extract_jsonl() of each text."""
     return F.pandas_udf(lambda s: s.map(lambda t: None if t is None else extract_jsonl(t)), "string")(text)

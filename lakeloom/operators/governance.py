@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What is redacted, in this order, and by what.
@@ -14,118 +14,229 @@ PII = (
     (r"(?i)\b(sk-[A-Za-z0-9]{20,}|ghp_[A-Za-z0-9]{36,}|xoxb-[A-Za-z0-9\-]+)", "[REDACTED_API_KEY]"),
     (r"(?i)Bearer\s+[A-Za-z0-9\-._~+/]+=*", "[REDACTED_BEARER]"),
 )
-#: The controls (id, collected automatically) and those with automatic evidence.
+#: What a text that any of these is found in must hold.
+MUST = (
+    lambda t: t.contains("@"),
+    lambda t: t.rlike(r"\d-\d\d-\d"),
+    lambda t: F.lower(t).contains("sk-") | F.lower(t).contains("ghp_") | F.lower(t).contains("xoxb-"),
+    lambda t: F.lower(t).contains("bearer"),
+)
+#: The controls (id, framework, category, title, collected automatically) and those with automatic evidence.
 CONTROLS = (
-    ("CC6.1", True), ("CC6.2", True), ("CC6.3", True), ("CC7.1", False), ("CC7.2", False), ("A1.1", True), ("A1.2", True), ("A1.3", True), ("C1.1", True),
-    ("C1.2", True), ("P1.1", True), ("A.9.1", False), ("A.9.2", True), ("A.12.1", False), ("A.12.3", True), ("A.16.1", False), ("A.18.1", False),
+    ("CC6.1", "soc2", "security", "Logical Access Controls", True),
+    ("CC6.2", "soc2", "security", "User Authentication", True),
+    ("CC6.3", "soc2", "security", "Authorisation Enforcement", True),
+    ("CC7.1", "soc2", "security", "Vulnerability Detection", False),
+    ("CC7.2", "soc2", "incident_management", "Incident Response", False),
+    ("A1.1", "soc2", "availability", "RPO / RTO Commitments", True),
+    ("A1.2", "soc2", "availability", "Redundant Infrastructure", True),
+    ("A1.3", "soc2", "backup_and_recovery", "Backup Integrity", True),
+    ("C1.1", "soc2", "confidentiality", "Data Encryption at Rest", True),
+    ("C1.2", "soc2", "cryptography", "Data Encryption in Transit", True),
+    ("P1.1", "soc2", "privacy", "Data Classification", True),
+    ("A.9.1", "iso27001", "access_control", "Access Control Policy", False),
+    ("A.9.2", "iso27001", "access_control", "User Access Management", True),
+    ("A.12.1", "iso27001", "change_management", "Change Management", False),
+    ("A.12.3", "iso27001", "backup_and_recovery", "Information Backup", True),
+    ("A.16.1", "iso27001", "incident_management", "Incident Management", False),
+    ("A.18.1", "iso27001", "privacy", "Regulatory Compliance", False),
 )
 EVIDENCE = ("CC6.1", "CC6.3", "A1.3", "C1.1", "A.9.2", "A.12.3")
+STALE_REASON, NONE_REASON = "Evidence is stale (>90 days)", "No evidence collected"
 FRESH_S = 90 * 86_400
-PERMISSIONS = ("read", "write", "list", "delete")
+#: Permissions in the order in which they are shown; limits of a policy file.
+PERMISSIONS = ("read", "write", "delete", "list")
+POLICY_BYTES, POLICY_RULES = 1 << 20, 10_000
+#: Share of a quota from which writes are throttled; shares and object sizes (MiB) that tell workloads apart;
+#: bytes that a metadata operation and a mixed workload touch.
+THROTTLE = 0.9
+READ_SHARE, SMALL_WRITE, LARGE_READ, SMALL_READ = 0.9, 2, 100, 10
+METADATA_BYTES, MIXED_MIB = 256, 512
+#: Profiles by kind of workload.
+PROFILE_COLUMNS = ("kind", "read_ahead_bytes", "max_concurrent_fetches", "chunk_size_bytes", "inline_verify", "write_buffer_bytes", "replication_priority", "cache_policy")
+PROFILES = (
+    ("training", 64 << 20, 32, 16 << 20, False, 256 << 20, 5, "lru"),
+    ("inference", 0, 64, 4 << 20, True, 16 << 20, 8, "pin"),
+    ("build", 4 << 20, 16, 8 << 20, True, 64 << 20, 3, "lru"),
+    ("interactive", 1 << 20, 8, 4 << 20, True, 8 << 20, 5, "lfu"),
+    ("streaming", 0, 4, 1 << 20, False, 128 << 20, 2, "bypass"),
+)
 
 
 def redact(text: Column, custom: tuple[tuple[str, str], ...] = ()) -> Column:
-    for pattern, by in (*PII, *custom):
-        text = F.regexp_replace(text, pattern, by.replace("$", r"\$"))
+    """Each pattern's matches replaced, in order. A cheap test on what any match must hold spares most texts the pass."""
+    for (pattern, by), must in zip((*PII, *custom), (*MUST, *[None] * len(custom)), strict=True):
+        done = F.regexp_replace(text, pattern, by.replace("$", r"\$"))
+        text = done if must is None else F.when(must(text), done).otherwise(text)
     return text
 
 
 def has_pii(text: Column) -> Column:
+    """Whether any pattern is found."""
     found = F.lit(False)
-    for pattern, _ in PII:
-        found = found | text.rlike(pattern)
+    for (pattern, _), must in zip(PII, MUST, strict=True):
+        found = found | (must(text) & text.rlike(pattern))
     return found
 
 
 def glob_regex(pattern: str) -> str:
-    """A path pattern as a regular expression: a lone * or ** is everything, ** any number of segments, * within one."""
+    """A path pattern as a regular expression: a lone * or ** is everything, ** any number of segments, * within one. What
+    stands before and after a * may overlap; a second * is an ordinary character."""
     if pattern in ("*", "**"):
         return "^.*$"
     out = ""
-    for part in pattern.strip("/").split("/"):
-        out += "(/[^/]+)*" if part == "**" else "/" + "[^/]*".join(map(re.escape, part.split("*", 1)))
-    return f"^{out}/?$"
-
-
-def evaluate(requests: DataFrame, rules: list[tuple[str, list[str], list[str], str]]) -> DataFrame:
-    """requests (path, principal, permission) with effect: that of the first rule that matches, else deny. Rules are few and
-    ordered; as one expression they need no join."""
-    effect = F.lit(None).cast("string")
+    for part in filter(None, pattern.split("/")):
+        before, star, after = part.partition("*")
+        one = f"(?={re.escape(before)})[^/]*" + (f"(?<={re.escape(after)})" if after else "") if star else re.escape(part)
+        out += "(/+[^/]+)*" if part == "**" else "/+(?=[^/])" + one + "(?=/|$)"
+    return f"^{out}/*$"
+
+
+Rule = tuple[str, list[str], list[str], str]
+
+
+def load_policy(path: str) -> list[Rule]:
+    """Rules (pattern, principals, permissions, effect) of a YAML file, in order. A file or a list of rules that is too large
+    is an error, and so is a rule that lacks a field."""
+    import os
+
+    import yaml
+
+    if os.path.getsize(path) > POLICY_BYTES:
+        raise ValueError(f"policy file too large: over {POLICY_BYTES} bytes")
+    with open(path, encoding="utf-8") as f:
+        rules = (yaml.safe_load(f) or {}).get("rules") or []
+    if len(rules) > POLICY_RULES:
+        raise ValueError(f"too many rules: {len(rules)} (limit {POLICY_RULES})")
+    out = []
+    for r in rules:
+        if set(r) != {"path_pattern", "principals", "permissions", "effect"} or r["effect"] not in ("allow", "deny") or not set(r["permissions"]) <= {*PERMISSIONS, "all"}:
+            raise ValueError(f"not a rule: {r}")
+        out.append((r["path_pattern"], list(r["principals"]), list(r["permissions"]), r["effect"]))
+    return out
+
+
+def evaluate(requests: DataFrame, rules: list[Rule]) -> DataFrame:
+    """requests (path, principal, permission) with effect and, where it is deny, reason: those of the first rule that matches,
+    else deny. Rules are few and ordered; as one expression they need no join."""
+    about = lambda path: F.concat(path, F.lit(" principal="), "principal", F.lit(" perm="), "permission", F.lit(")"))
+    decided = F.struct(F.lit("deny").alias("effect"), F.concat(F.lit("no matching allow rule (path="), about(F.col("path"))).alias("reason"))
     for pattern, principals, permissions, what in reversed(rules):
         who = F.lit(True) if "*" in principals else F.col("principal").isin(principals)
         hit = F.col("path").rlike(glob_regex(pattern)) & who & (F.lit(True) if "all" in permissions else F.col("permission").isin(permissions))
-        effect = F.when(hit, what).otherwise(effect)
-    return requests.withColumn("effect", F.coalesce(effect, F.lit("deny")))
+        reason = F.concat(F.lit(f"denied by rule (pattern={pattern}"), about(F.lit(""))) if what == "deny" else F.lit(None).cast("string")
+        decided = F.when(hit, F.struct(F.lit(what).alias("effect"), reason.alias("reason"))).otherwise(decided)
+    return requests.withColumn("_d", decided).select(*requests.columns, "_d.effect", "_d.reason")
+
+
+def allowed_permissions(paths: DataFrame, principal: str, rules: list[Rule]) -> DataFrame:
+    """path, allowed: the permissions that a principal has there, in a fixed order."""
+    each = paths.select("path", F.lit(principal).alias("principal"), F.posexplode(F.array(*map(F.lit, PERMISSIONS))).alias("k", "permission"))
+    g = evaluate(each, rules).groupBy("path").agg(F.array_sort(F.collect_list(F.when(F.col("effect") == "allow", F.struct("k", "permission")))).alias("found"))
+    return g.select("path", F.transform("found", lambda x: x["permission"]).alias("allowed"))
+
+
+def lineage_constraint(writes: DataFrame, principal: str, rules: list[Rule]) -> DataFrame:
+    """writes (sink, sources: array of paths) with effect and reason: every source must be readable, else the first that isn't
+    tells why; then the sink must be writable."""
+    sources = writes.select("sink", F.posexplode("sources").alias("k", "path"), F.lit(principal).alias("principal"), F.lit("read").alias("permission"))
+    denied = evaluate(sources, rules).filter("effect = 'deny'").groupBy("sink").agg(F.min_by("reason", "k").alias("blocked"))
+    sink = evaluate(writes.select(F.col("sink").alias("path"), F.lit(principal).alias("principal"), F.lit("write").alias("permission")), rules)
+    j = sink.withColumnRenamed("path", "sink").join(denied, "sink", "left")
+    blocked = F.concat(F.lit("lineage constraint: write to "), "sink", F.lit(" blocked - "), "blocked")
+    return j.select("sink", F.when(F.col("blocked").isNotNull(), "deny").otherwise(F.col("effect")).alias("effect"), F.coalesce(blocked, "reason").alias("reason"))
 
 
-def audit_hash(*columns: str) -> Column:
-    return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
+def in_scope(path: Column, scope: str, raw: bool = False) -> Column:
+    """Whether a path is within a subtree, by whole segments; raw: whether it begins with the scope's characters."""
+    scope = scope if scope.startswith("/") else f"/{scope}"
+    return path.startswith(scope) if raw else (path == (scope.rstrip("/") or "/")) | path.startswith(scope.rstrip("/") + "/")
 
 
-def verify_chain(log: DataFrame, key: str, body: list[str]) -> DataFrame:
-    """seq and ok of a log (seq, hash, prev_hash and the body): whether the entry's hash is right and its prev_hash is the
-    hash before it. Sequence numbers are dense, so the entry before is found by an equi-join and no single window."""
-    before = log.select((F.col(key) + 1).alias(key), F.col("hash").alias("before"))
-    j = log.join(before, key, "left")
-    return j.select(key, ((F.col("hash") == audit_hash(*body)) & (F.col("prev_hash") == F.coalesce("before", F.lit("genesis")))).alias("ok"))
+def within_quota(usage: dict[str, Column], most: dict[str, Column]) -> Column:
+    """Whether every dimension of usage is within its limit; 0 is no limit."""
+    out = F.lit(True)
+    for name, used in usage.items():
+        out = out & ((most[name] == 0) | (used <= most[name]))
+    return out
 
 
 def quota_decision(projected: Column, used: Column, most: Column, known: Column) -> Column:
-    """deny for an unknown tenant or beyond the limit, throttle from nine tenths of it on, else allow; 0 is no limit."""
-    return F.when(~known, "deny").when(most == 0, "allow").when(projected > most, "deny").when(used / most >= 0.9, "throttle").otherwise("allow")
+    """deny for an unknown tenant or beyond the limit, throttle from a share of it on, else allow; 0 is no limit."""
+    return F.when(~known, "deny").when(most == 0, "allow").when(projected > most, "deny").when(used / most >= THROTTLE, "throttle").otherwise("allow")
 
 
 def recommend(read: Column, write: Column, average: Column) -> Column:
     """Workload kind by the share of reads and the average object."""
     mib, share = 1 << 20, read / (read + write)
-    ladder = F.when(read + write == 0, "interactive").when((write > read) & (average < 2 * mib), "streaming")
-    ladder = ladder.when((share >= 0.9) & (average > 100 * mib), "training").when((share >= 0.9) & (average < 10 * mib), "inference")
+    ladder = F.when(read + write == 0, "interactive").when((write > read) & (average < SMALL_WRITE * mib), "streaming")
+    ladder = ladder.when((share >= READ_SHARE) & (average > LARGE_READ * mib), "training").when((share >= READ_SHARE) & (average < SMALL_READ * mib), "inference")
     return ladder.when(write > read, "build").otherwise("interactive")
 
 
 def gaps(controls: DataFrame, evidence: DataFrame, now: int) -> DataFrame:
-    """controls (control_id, automated) with covered and severity (null if covered), by each one's first evidence
-    (control_id, ord, status, collected_at)."""
+    """controls (control_id, automated, and others) with covered, severity and reason (null if covered), by each one's first
+    evidence (control_id, ord, status, collected_at)."""
     first = evidence.groupBy("control_id").agg(F.min_by("status", "ord").alias("status"), F.min_by("collected_at", "ord").alias("at"))
-    j = controls.join(F.broadcast(first), "control_id", "left")
+    j = controls.join(first, "control_id", "left")
     covered = F.coalesce((F.col("status") == "collected") & (F.lit(now) - F.col("at") <= FRESH_S), F.lit(False))
-    stale = F.col("status") == "stale"
+    stale = F.coalesce(F.col("status") == "stale", F.lit(False))
     severity = F.when(covered, None).when(stale, F.when(F.col("automated"), "medium").otherwise("low")).otherwise(F.when(F.col("automated"), "high").otherwise("medium"))
-    return j.select("control_id", "automated", covered.alias("covered"), severity.alias("severity"))
-
-
-def pick_by_capacity(chains: DataFrame, target: int) -> DataFrame:
-    """The first chain, by id, whose running sum of free bytes exceeds the target."""
-    acc = F.sum("free").over(Window.orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
-    return chains.withColumn("acc", acc).filter(F.col("acc") > target).orderBy("id").limit(1).select("id", "acc")
-
-
-def rack_aware(chains: DataFrame, n: int) -> DataFrame:
-    """n chains, of as many racks as there are: first one of each rack, then others, by id."""
-    in_rack = F.row_number().over(Window.partitionBy("rack").orderBy("id"))
-    order = F.row_number().over(Window.orderBy("nth", "id"))
-    return chains.withColumn("nth", in_rack).withColumn("place", order).filter(F.col("place") <= n).select("place", "id", "rack")
-
-
-def append_audit(log: DataFrame, new: DataFrame, body: list[str]) -> DataFrame:
-    """Chained entries for new (n from 0 without gaps, and the body without seq) after the last one of log (seq, hash). The
-    entry before is found by an equi-join, so the chain needs no single task."""
-    tail = log.agg(F.max("seq").alias("last"), F.max_by("hash", "seq").alias("last_hash"))
-    e = new.crossJoin(F.broadcast(tail)).withColumn("seq", F.coalesce("last", F.lit(-1)) + 1 + F.col("n"))
-    e = e.withColumn("hash", audit_hash(*body))
-    before = e.select((F.col("n") + 1).alias("n"), F.col("hash").alias("before"))
-    prev = F.coalesce("before", F.when(F.col("n") == 0, F.col("last_hash")), F.lit("genesis"))
-    return e.join(before, "n", "left").select(*body, "hash", prev.alias("prev_hash"))
+    reason = F.when(covered, None).when(stale, STALE_REASON).otherwise(NONE_REASON)
+    return j.select(*controls.columns, covered.alias("covered"), severity.alias("severity"), reason.alias("reason"))
 
 
 def workload_bytes(kind: Column, size: Column, count: Column, percent: Column) -> Column:
     """Bytes that a workload touches, about: size in MiB, count of files or operations, percent changed."""
     mib = F.lit(1 << 20)
     out = F.when(kind.isin("sequential", "write-heavy"), size * mib).when(kind == "random-read", count * size * mib)
-    out = out.when(kind == "mixed", 512 * mib).when(kind == "metadata-storm", count * 256)
+    out = out.when(kind == "mixed", MIXED_MIB * mib).when(kind == "metadata-storm", count * METADATA_BYTES)
     return out.when(kind == "checkpoint-delta", F.floor(size * mib * percent / 100)).cast("long")
 
 
+# Placement -----------------------------------------------------------------------------------------------------------
+def mixed(hash_: Column, n: int) -> Column:
+    """The first n bytes of a hash as a number in base 131."""
+    out = F.lit(0).cast("decimal(38,0)")
+    for i in range(n):
+        byte = F.conv(F.substring(hash_, 2 * i + 1, 2), 16, 10).cast("decimal(38,0)")
+        out = ((out * F.lit(131).cast("decimal(38,0)")).cast("decimal(38,0)") + byte).cast("decimal(38,0)")
+    return out
+
+
+def round_robin(hash_: Column, chains: Column) -> Column:
+    """Place (from 0) of a hash's chain: its number modulo the number of chains."""
+    return (mixed(hash_, 8) % F.size(chains).cast("decimal(38,0)")).cast("int")
+
+
+def capacity_aware(hash_: Column, chains: Column) -> Column:
+    """Place (from 0) of a hash's chain: where its number, modulo all free bytes, falls in their running sum; as round_robin()
+    if none has any."""
+    free = F.transform(chains, lambda c: c["free"].cast("decimal(38,0)"))
+    total = F.aggregate(free, F.lit(0).cast("decimal(38,0)"), lambda a, x: (a + x).cast("decimal(38,0)"))
+    target = mixed(hash_, 16) % total
+    start = F.struct(F.lit(0).cast("decimal(38,0)").alias("acc"), F.lit(0).alias("n"))
+    passed = F.aggregate(free, start, lambda a, x: F.struct((a["acc"] + x).cast("decimal(38,0)").alias("acc"), F.when(target >= a["acc"] + x, a["n"] + 1).otherwise(a["n"]).alias("n")))
+    return F.when(total == 0, round_robin(hash_, chains)).otherwise(F.least(passed["n"], F.size(chains) - 1))
+
+
+def replicas(objects: DataFrame, chains: DataFrame, n: int, primary=capacity_aware, rack_aware: bool = True) -> DataFrame:
+    """objects (hash, ...) with replicas: ids of n chains (id, free, rack; few, in order of id), the primary first, then those after
+    it; rack-aware, first one of each rack that isn't used yet, then the others. primary is any function of a hash and the
+    chains that gives a place."""
+    listed = chains.agg(F.array_sort(F.collect_list(F.struct("id", "free", "rack"))).alias("chains"))
+    o = objects.crossJoin(F.broadcast(listed)).withColumn("p", primary(F.col("hash"), F.col("chains")))
+    turned = F.concat(F.slice("chains", F.col("p") + 1, F.size("chains")), F.slice("chains", F.lit(1), F.col("p")))
+    o = o.withColumn("turned", F.when(F.size("chains") == 0, F.col("chains")).otherwise(turned))
+    if rack_aware:
+        racks = F.transform("turned", lambda c: c["rack"])
+        o = o.withColumn("racks", racks)
+        new = F.filter("turned", lambda c, i: F.array_position(F.col("racks"), c["rack"]) == i + 1)
+        rest = F.filter("turned", lambda c, i: F.array_position(F.col("racks"), c["rack"]) != i + 1)
+        o = o.withColumn("turned", F.concat(new, rest)).drop("racks")
+    return o.withColumn("replicas", F.transform(F.slice("turned", 1, n), lambda c: c["id"])).drop("chains", "p", "turned")
+
+
 def bytes_fraction(used: Column, most: Column) -> Column:
     """Share of the quota in use; 0 without a limit."""
     return F.when(most == 0, 0.0).otherwise(used / most)

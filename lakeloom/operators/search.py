@@ -29,37 +29,6 @@ def vector_topk(vectors: DataFrame, query: DataFrame, k: int, key: str = "vec_id
     return scored.drop("q").orderBy(F.desc("score"), key).limit(k)
 
 
-def bm25(docs: DataFrame, terms: list[str], require_all: bool = False) -> DataFrame:
-    """doc_id and score of documents with one (or all) of the terms. Statistics cover the whole collection; only the terms'
-    postings are shuffled, one row for each document that has one."""
-
-    def occurrences(term: str) -> Column:
-        # the literal comes first: a place where it doesn't begin costs one comparison, and no look at what is before it
-        return F.regexp_count("text", F.lit(rf"\Q{term}\E(?<![\p{{L}}\p{{N}}]\Q{term}\E)(?![\p{{L}}\p{{N}}])"))
-
-    t = docs.select("doc_id", F.regexp_count("text", F.lit(r"[\p{L}\p{N}]++")).alias("len"), *[occurrences(w).alias(f"tf{i}") for i, w in enumerate(terms)])
-    stats = t.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
-    score = sum((F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("len") / F.col("avgdl"))) for i in range(len(terms))), F.lit(0.0))
-    has = [F.col(f"tf{i}") > 0 for i in range(len(terms))]
-    wanted = has[0]
-    for h in has[1:]:
-        wanted = wanted & h if require_all else wanted | h
-    return t.filter(wanted).crossJoin(F.broadcast(stats)).select("doc_id", F.round(score, 6).alias("score"))
-
-
-def phrase(docs: DataFrame, words: list[str]) -> DataFrame:
-    """doc_id of documents in which the words follow one another."""
-    joined = F.concat(F.lit(" "), F.array_join(tokens(F.col("text")), " "), F.lit(" "))
-    return docs.filter(F.contains(joined, F.lit(f" {' '.join(words)} "))).select("doc_id")
-
-
-def snippet(text: Column, term: str, width: int = 80) -> Column:
-    """Characters around the term's first place, without tags."""
-    plain = F.regexp_replace(text, "<[^>]*>", "")
-    start = F.greatest(F.lit(1), F.instr(plain, term) - width // 2)
-    return F.substring(plain, start, F.lit(width))
-
-
 def hybrid(text_hits: DataFrame, vector_hits: DataFrame, weight: float, k: int) -> DataFrame:
     """Full outer merge of two scored hit lists (doc_id, score): each score over its list's greatest one, weighted, summed."""
     weight = min(1.0, max(0.0, weight))

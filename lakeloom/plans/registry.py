@@ -26,12 +26,9 @@ VECTORS = "vectors AS (SELECT sha256(CAST(vec_id AS VARCHAR)) AS file_hash, vec_
 V1 = "v1 AS (SELECT path, hash FROM files)"
 V2 = "v2 AS (SELECT path, CASE WHEN doc_id % 7 = 0 THEN sha256(hash||'v2') ELSE hash END AS hash FROM files WHERE doc_id % 11 <> 0 UNION ALL SELECT path||'.new', hash FROM files WHERE doc_id % 13 = 0)"
 COMMITS = "commits AS (SELECT o_orderkey AS hash, lag(o_orderkey) OVER w AS parent, o_custkey AS author, (epoch_us(o_orderdate) // 1000) AS ts FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))"
-CHUNKS = "chunks AS (SELECT path, CAST(i AS INTEGER) AS pos, substring(text, CAST(i * 4096 + 1 AS BIGINT), 4096) AS data FROM files, unnest(range(0, CAST(ceil(length(text) / 4096.0) AS BIGINT))) u(i))"
-AUDIT = "b AS (SELECT event_id AS seq, event_type, user_id AS actor, sha256(event_id||'|'||event_type||'|'||user_id) AS hash FROM events), audit AS (SELECT x.seq, x.event_type, x.actor, CASE WHEN x.seq = 77 THEN 'tampered' ELSE x.hash END AS hash, coalesce(y.hash, 'genesis') AS prev_hash FROM b x LEFT JOIN b y ON y.seq = x.seq - 1)"
+CHUNKS = "fx AS (SELECT path, hex(encode(text)) AS hx FROM files), chunks AS (SELECT path, CAST(i AS INTEGER) AS pos, unhex(substr(hx, CAST(i * 8192 + 1 AS BIGINT), 8192)) AS data FROM fx, unnest(range(0, CAST(ceil(length(hx) / 8192.0) AS BIGINT))) u(i))"
 TENANTS = "t AS (SELECT c_custkey AS tenant, CAST(sum(o_totalprice) AS BIGINT) AS used, count(*) AS running FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1)"
 
-WORDS = ["the", "tion", "and"]
-
 
 def query(sql: str | None = None):
     def add(f: Query) -> Query:
@@ -45,7 +42,7 @@ def query(sql: str | None = None):
 
 def _load() -> None:
     """Let the modules that import this one register their queries."""
-    from lakeloom.plans import stores  # noqa: F401
+    from lakeloom.plans import control, searches, stores, texts, versions  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
@@ -101,78 +98,6 @@ def vector_by_label_filter(s, d):
     return S.vector_topk(v.filter("label = 3"), _query_vector(v), 10).select("vec_id", "score")
 
 
-@query("SELECT len(embedding) AS dim, count(*) AS n FROM embeddings WHERE len(embedding) = 64 GROUP BY 1")
-def vector_dim_filter(s, d):
-    return vectors(s, d).groupBy(F.size("embedding").cast("long").alias("dim")).agg(F.count("*").alias("n")).filter("dim = 64")
-
-
-def _bm25(words: list[str], need: int) -> str:
-    tf = ", ".join(f"len([x FOR x IN tk IF x = '{w}']) AS tf{i}" for i, w in enumerate(words))
-    df = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(len(words)))
-    score = " + ".join(f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * len / avgdl))" for i in range(len(words)))
-    has = " + ".join(f"CAST(tf{i} > 0 AS INT)" for i in range(len(words)))
-    return f"t AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}]+') IF x <> ''] AS tk FROM documents), f AS (SELECT doc_id, len(tk) AS len, {tf} FROM t), st AS (SELECT count(*) AS n, avg(len) AS avgdl, {df} FROM f), hits AS (SELECT doc_id, round({score}, 6) AS score FROM f, st WHERE {has} >= {need})"
-
-
-@query(f"WITH {_bm25(WORDS, 1)} SELECT doc_id, score FROM hits ORDER BY score DESC, doc_id LIMIT 10")
-def bm25_topk(s, d):
-    return S.bm25(docs(s, d), WORDS).orderBy(F.desc("score"), "doc_id").limit(10)
-
-
-@query(f"WITH {_bm25(WORDS, 3)} SELECT doc_id, score FROM hits")
-def bm25_and(s, d):
-    return S.bm25(docs(s, d), WORDS, require_all=True)
-
-
-@query("WITH t AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(text, '[^\\p{L}\\p{N}]+') IF x <> ''] AS tk FROM documents) SELECT doc_id FROM t WHERE contains(' '||array_to_string(tk, ' ')||' ', ' of the ')")
-def phrase_match(s, d):
-    return S.phrase(docs(s, d), ["of", "the"])
-
-
-@query()
-def snippet(s, d):
-    return docs(s, d).filter(F.col("text").contains("the")).select("doc_id", S.snippet(F.col("text"), "the").alias("snippet"))
-
-
-def _hybrid(weight: float, where: str = "true", limit: int = 10) -> str:
-    fetch = max(4 * limit, 20)
-    return f"WITH {_bm25(WORDS, 1)}, th AS (SELECT * FROM hits ORDER BY score DESC, doc_id LIMIT {fetch}), vh AS (SELECT vec_id AS doc_id, score FROM ({_cos('true', fetch)})), a AS (SELECT doc_id, greatest(0, score / greatest((SELECT max(score) FROM th), 1.1920929e-7)) AS t FROM th), b AS (SELECT doc_id, greatest(0, score / greatest((SELECT max(score) FROM vh), 1.1920929e-7)) AS v FROM vh) SELECT doc_id, round({1 - weight} * coalesce(t, 0) + {weight} * coalesce(v, 0), 6) AS score FROM a FULL OUTER JOIN b USING (doc_id) WHERE {where} ORDER BY score DESC, doc_id LIMIT {limit}"
-
-
-def _legs(s, d, limit=10):
-    fetch = max(4 * limit, 20)
-    v = vectors(s, d)
-    return S.bm25(docs(s, d), WORDS).orderBy(F.desc("score"), "doc_id").limit(fetch), S.vector_topk(v, _query_vector(v), fetch).select(F.col("vec_id").alias("doc_id"), "score")
-
-
-@query(_hybrid(0.5))
-def hybrid_search(s, d):
-    return S.hybrid(*_legs(s, d), 0.5, 10)
-
-
-@query(_hybrid(0.0))
-def hybrid_text_only(s, d):
-    return S.hybrid(*_legs(s, d), 0.0, 10)
-
-
-@query(_hybrid(1.0))
-def hybrid_vector_only(s, d):
-    return S.hybrid(*_legs(s, d), 1.0, 10)
-
-
-@query(_hybrid(0.5, "doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')"))
-def hybrid_xattr_filter(s, d):
-    t, v = _legs(s, d)
-    wanted = docs(s, d).filter("lang = 'en'").select("doc_id")
-    return S.hybrid(t, v, 0.5, 1 << 30).join(wanted, "doc_id", "left_semi").orderBy(F.desc("score"), "doc_id").limit(10)
-
-
-@query(f"WITH {_bm25(WORDS, 1)} SELECT doc_id, score FROM hits WHERE doc_id IN (SELECT doc_id FROM documents WHERE source LIKE 'src1%')")
-def search_path_prefix(s, d):
-    wanted = files(s, d).filter(F.col("path").startswith("/src1")).select("doc_id")
-    return S.bm25(docs(s, d), WORDS).join(wanted, "doc_id", "left_semi")
-
-
 @query(f"WITH {VECTORS} SELECT count(*) FILTER (model_version <> 'm-v2') AS newly_stale, count(*) AS n FROM vectors")
 def mark_stale(s, d):
     return S.mark_stale(vectors(s, d), "m-v2").agg(F.count_if("stale").alias("newly_stale"), F.count("*").alias("n"))
@@ -183,39 +108,12 @@ def list_stale(s, d):
     return S.mark_stale(vectors(s, d), "m-v2").filter("stale").select("file_hash", "model_version")
 
 
-@query(f"WITH {VECTORS} SELECT count(*) AS stale_found, count(text) AS reembedded, count(*) - count(text) AS failed FROM vectors LEFT JOIN documents ON vec_id = doc_id WHERE model_version <> 'm-v2'")
-def reembed_report(s, d):
-    j = S.mark_stale(vectors(s, d), "m-v2").filter("stale").join(docs(s, d).select("doc_id", "text"), F.col("vec_id") == F.col("doc_id"), "left")
-    return j.agg(F.count("*").alias("stale_found"), F.count("text").alias("reembedded"), (F.count("*") - F.count("text")).alias("failed"))
-
-
 @query(f"WITH {VECTORS} SELECT file_hash, CASE WHEN vec_id % 10 = 0 THEN 'm-v3' ELSE model_version END AS model_version FROM vectors")
 def vector_upsert(s, d):
     v = vectors(s, d).select("file_hash", "vec_id", "model_version")
     return S.upsert(v, v.filter("vec_id % 10 = 0").withColumn("model_version", F.lit("m-v3")), "file_hash").select("file_hash", "model_version")
 
 
-@query("SELECT doc_id FROM documents WHERE NOT (doc_id % 5 = 0)")
-def doc_delete(s, d):
-    t = docs(s, d).select("doc_id")
-    return t.join(t.filter("doc_id % 5 = 0"), "doc_id", "left_anti")
-
-
-@query("SELECT doc_id FROM documents WHERE NOT coalesce(lang = 'fr', false) AND NOT coalesce(source = 'src3', false)")
-def xattr_denylist(s, d):
-    m = docs(s, d).withColumn("xattrs", F.create_map(F.lit("lang"), "lang", F.lit("source"), "source"))
-    deny = [("lang", "fr"), ("source", "src3")]
-    hit = F.lit(False)
-    for k, v in deny:
-        hit = hit | F.coalesce(F.col("xattrs")[k] == v, F.lit(False))
-    return m.filter(~hit).select("doc_id")
-
-
-@query(f"WITH {FILES} SELECT path FROM files WHERE starts_with(path, '/src1/')")
-def scope_filter(s, d):
-    return files(s, d).filter(C.under(F.col("path"), "/src1")).select("path")
-
-
 # Lineage ------------------------------------------------------------------------------------------------------------
 @query(f"WITH {EDGES} SELECT id, ts, kind, source_hash, sink_hash, agent FROM edges WHERE sink_hash = 'u7'")
 def lineage_parents(s, d):
@@ -285,55 +183,12 @@ def lineage_append(s, d):
 
 
 # Content and files --------------------------------------------------------------------------------------------------
-@query(f"WITH {FILES}, {CHUNKS} SELECT path, pos, sha256(data) AS hash, CAST(length(data) AS INTEGER) AS length FROM chunks")
-def chunk_window(s, d):
-    return X.chunks(files(s, d)).drop("data")
-
-
-@query(f"WITH {FILES}, {CHUNKS} SELECT sha256(data) AS hash, min(length(data)) AS length FROM chunks GROUP BY 1")
-def chunk_dedup(s, d):
-    return X.chunks(files(s, d)).groupBy("hash").agg(F.min("length").cast("long").alias("length"))
-
-
 @query("SELECT DISTINCT sha256(text) AS hash FROM documents WHERE doc_id % 2 = 1 AND text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0)")
 def chunk_put_new(s, d):
     f = files(s, d).select("doc_id", "hash")
     return C.put_new(f.filter("doc_id % 2 = 0"), f.filter("doc_id % 2 = 1")).select("hash")
 
 
-@query(f"WITH {FILES} SELECT path, sha256(text) AS hash, 0 AS n_bad FROM files WHERE length(text) > 0")
-def file_reassemble(s, d):
-    return C.reassemble(X.chunks(files(s, d))).select("path", F.sha2("text", 256).alias("hash"), F.col("n_bad").cast("int"))
-
-
-@query(f"WITH {FILES}, {CHUNKS} SELECT count(*) AS chunks, 0 AS failures FROM chunks")
-def chunk_verify(s, d):
-    c = X.chunks(files(s, d))
-    return c.agg(F.count("*").alias("chunks"), F.count_if(F.sha2("data", 256) != F.col("hash")).cast("int").alias("failures"))
-
-
-@query(f"WITH {FILES} SELECT path, substring(text, 11, 20) AS part FROM files")
-def byte_range_read(s, d):
-    return files(s, d).select("path", F.substring("text", 11, 20).alias("part"))
-
-
-@query(f"WITH {FILES} SELECT path, 'file' AS kind, hash, size FROM files WHERE starts_with(path, '/src1/en/')")
-def fs_list(s, d):
-    f = files(s, d).filter(F.regexp_replace("path", "/[^/]*$", "") == "/src1/en")
-    return f.select("path", F.lit("file").alias("kind"), "hash", "size").orderBy("path")
-
-
-@query(f"WITH {FILES} SELECT path, hash, size FROM files WHERE doc_id IN (1, 21, 41)")
-def fs_stat(s, d):
-    wanted = files(s, d).filter("doc_id in (1, 21, 41)").select("path")
-    return files(s, d).join(F.broadcast(wanted), "path", "left_semi").select("path", "hash", "size")
-
-
-@query(f"WITH {FILES} SELECT split_part(path, '/', 2) AS top, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM files GROUP BY 1")
-def fs_subtree(s, d):
-    return files(s, d).groupBy(F.split("path", "/")[1].alias("top")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
-
-
 @query(f"WITH {FILES} SELECT CASE WHEN starts_with(path, '/src2/') THEN '/moved'||substring(path, 6) ELSE path END AS path, hash FROM files")
 def fs_rename(s, d):
     return C.rename(files(s, d).select("path", "hash"), "/src2", "/moved")
@@ -358,68 +213,10 @@ def path_normalize(s, d):
     return p.select("raw", C.normal_path(F.col("raw")).alias("path"))
 
 
-@query(f"WITH {FILES}, n AS (SELECT path, sha256(hash||'w') AS hash FROM files WHERE doc_id % 9 = 0) SELECT path, hash FROM files WHERE doc_id % 9 <> 0 UNION ALL SELECT path, hash FROM n")
-def fs_write_upsert(s, d):
-    f = files(s, d)
-    return S.upsert(f.select("path", "hash"), f.filter("doc_id % 9 = 0").select("path", F.sha2(F.concat("hash", F.lit("w")), 256).alias("hash")), "path")
-
-
-@query(f"WITH {FILES} SELECT path, sha256(text||'!') AS hash FROM files WHERE doc_id % 50 = 0")
-def fs_append(s, d):
-    return files(s, d).filter("doc_id % 50 = 0").select("path", F.sha2(F.concat("text", F.lit("!")), 256).alias("hash"))
-
-
-@query(f"WITH {FILES} SELECT path FROM files WHERE doc_id <> 21")
-def fs_delete(s, d):
-    return files(s, d).filter("doc_id <> 21").select("path")
-
-
-@query(f"WITH {FILES} SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS dir FROM files UNION SELECT '/new'")
-def fs_mkdir(s, d):
-    dirs = files(s, d).select(F.regexp_replace("path", "/[^/]*$", "").alias("dir"))
-    return dirs.union(s.createDataFrame([("/new",)], "dir string")).distinct()
-
-
 # Versions -----------------------------------------------------------------------------------------------------------
-@query(f"WITH {COMMITS} SELECT author, depth, hash FROM (SELECT author, hash, row_number() OVER (PARTITION BY author ORDER BY ts DESC, hash DESC) - 1 AS depth FROM commits) WHERE depth < 5")
-def commit_log_first_parent(s, d):
-    return C.first_parent_log(X.commits(X.table(s, d, "orders")), 5).withColumn("depth", F.col("depth").cast("long"))
-
-
-@query(f"WITH {COMMITS} SELECT author, count(*) AS commits, min(ts) AS first_ts FROM commits GROUP BY 1")
-def commit_reachability(s, d):
-    return X.commits(X.table(s, d, "orders")).groupBy("author").agg(F.count("*").alias("commits"), F.min("ts").alias("first_ts"))
-
-
 DIFF = f"WITH {FILES}, {V1}, {V2} SELECT CASE WHEN v1.path IS NULL THEN 'add' WHEN v2.path IS NULL THEN 'del' ELSE 'mod' END AS op, coalesce(v1.path, v2.path) AS path FROM v1 FULL OUTER JOIN v2 ON v1.path = v2.path WHERE v1.hash IS DISTINCT FROM v2.hash"
 
 
-@query(DIFF)
-def tree_diff(s, d):
-    f = files(s, d)
-    return C.diff(X.snapshot(f, 1), X.snapshot(f, 2))
-
-
-@query(f"SELECT op, count(*) AS n FROM ({DIFF}) GROUP BY 1")
-def version_diff_defaults(s, d):
-    return tree_diff(s, d).groupBy("op").agg(F.count("*").alias("n"))
-
-
-@query(f"WITH {FILES}, {V2} SELECT path, hash FROM v2")
-def checkout_snapshot(s, d):
-    return X.snapshot(files(s, d), 2)
-
-
-@query(f"WITH {COMMITS} SELECT author AS branch, max(hash) AS n FROM commits WHERE author % 100 = 1 GROUP BY 1")
-def branch_list(s, d):
-    return X.commits(X.table(s, d, "orders")).filter("author % 100 = 1").groupBy(F.col("author").alias("branch")).agg(F.max("hash").alias("n"))
-
-
-@query(f"WITH {COMMITS} SELECT author, hash AS head FROM (SELECT author, hash, row_number() OVER (PARTITION BY author ORDER BY ts DESC, hash DESC) AS rn FROM commits) WHERE rn = 1")
-def head_resolve(s, d):
-    return X.commits(X.table(s, d, "orders")).groupBy("author").agg(F.max_by("hash", F.struct("ts", "hash")).alias("head"))
-
-
 @query(f"WITH {COMMITS}, w AS (SELECT * FROM (VALUES ('5'), ('b7'), ('nope')) t(name)), b AS (SELECT 'b'||author AS name, max(hash) AS hash FROM commits GROUP BY 1) SELECT w.name, coalesce(c.hash, b.hash) AS hash FROM w LEFT JOIN commits c ON CAST(c.hash AS VARCHAR) = w.name LEFT JOIN b ON b.name = w.name")
 def commitish_resolve(s, d):
     c = X.commits(X.table(s, d, "orders"))
@@ -430,32 +227,6 @@ def commitish_resolve(s, d):
 
 
 # Reachability -------------------------------------------------------------------------------------------------------
-@query(f"WITH {FILES}, {V2} SELECT DISTINCT hash FROM files WHERE hash NOT IN (SELECT hash FROM v2)")
-def gc_mark_sweep(s, d):
-    f = files(s, d)
-    return C.mark_sweep(f.select("hash").distinct(), X.snapshot(f, 2))
-
-
-@query(f"WITH {FILES}, {V2}, a AS (SELECT DISTINCT hash FROM files) SELECT count(*) AS seen, count(*) FILTER (hash IN (SELECT hash FROM v2)) AS marked, count(*) FILTER (hash NOT IN (SELECT hash FROM v2)) AS swept FROM a")
-def gc_report(s, d):
-    f = files(s, d)
-    all_ = f.select("hash").distinct()
-    live = X.snapshot(f, 2).select("hash", F.lit(True).alias("live")).distinct()
-    return all_.join(live, "hash", "left").agg(F.count("*").alias("seen"), F.count_if(F.col("live").isNotNull()).alias("marked"), F.count_if(F.col("live").isNull()).alias("swept"))
-
-
-@query(f"WITH {FILES}, {CHUNKS} SELECT sha256(data) AS hash, count(*) AS refs FROM chunks GROUP BY 1")
-def gc_refcounts(s, d):
-    return C.refcounts(X.chunks(files(s, d)))
-
-
-@query(f"WITH {FILES}, {V2}, r AS (SELECT hash, count(*) AS n FROM v2 GROUP BY 1) SELECT DISTINCT f.hash FROM files f LEFT JOIN r ON f.hash = r.hash WHERE coalesce(r.n, 0) = 0")
-def gc_sweep_zero(s, d):
-    f = files(s, d)
-    refs = C.refcounts(X.snapshot(f, 2))
-    return f.select("hash").distinct().join(refs, "hash", "left").filter(F.coalesce("refs", F.lit(0)) == 0).select("hash")
-
-
 @query(f"WITH {FILES} SELECT hash, greatest(0, CAST(sum(CASE WHEN doc_id % 3 = 0 THEN -1 ELSE 1 END) AS BIGINT)) AS refs FROM files GROUP BY 1")
 def gc_refcount_delta(s, d):
     delta = F.when(F.col("doc_id") % 3 == 0, -1).otherwise(1).cast("long")
@@ -463,42 +234,6 @@ def gc_refcount_delta(s, d):
 
 
 # Governance ---------------------------------------------------------------------------------------------------------
-ALICE, ADMIN, ALICE_ADMIN = "('alice')", "('admin')", "('alice'), ('admin')"
-READ, LIST, READ_WRITE, ALL_PERMISSIONS = "('read')", "('list')", "('read'), ('write')", "('read'), ('write'), ('list'), ('delete')"
-RULES = [("/src1/**", ["*"], ["read", "list"], "allow"), ("/src2/**", ["admin"], ["all"], "allow"), ("/src2/**", ["*"], ["all"], "deny"), ("/src3/*/1*.txt", ["*"], ["read"], "allow")]
-
-
-def _policy(principals: str, permissions: str) -> str:
-    return f"{FILES}, p AS (SELECT * FROM (VALUES {principals}) t(principal)), q AS (SELECT * FROM (VALUES {permissions}) t(permission)), ev AS (SELECT path, principal, permission, CASE WHEN starts_with(path, '/src1/') AND permission IN ('read', 'list') THEN 'allow' WHEN starts_with(path, '/src2/') AND principal = 'admin' THEN 'allow' WHEN starts_with(path, '/src2/') THEN 'deny' WHEN regexp_matches(path, '^/src3/[^/]*/1[^/]*\\.txt$') AND permission = 'read' THEN 'allow' ELSE 'deny' END AS effect FROM files, p, q)"
-
-
-def _requests(s, d, principals, permissions):
-    each = F.explode(F.array(*map(F.lit, principals)))
-    return files(s, d).select("path", each.alias("principal")).select("path", "principal", F.explode(F.array(*map(F.lit, permissions))).alias("permission"))
-
-
-@query(f"WITH {_policy(ALICE_ADMIN, READ_WRITE)} SELECT path, principal, permission, effect FROM ev")
-def policy_evaluate(s, d):
-    return G.evaluate(_requests(s, d, ["alice", "admin"], ["read", "write"]), RULES)
-
-
-@query(f"WITH {_policy(ALICE, ALL_PERMISSIONS)} SELECT path, count(*) FILTER (effect = 'allow') AS allowed FROM ev GROUP BY 1")
-def policy_show(s, d):
-    e = G.evaluate(_requests(s, d, ["alice"], list(G.PERMISSIONS)), RULES)
-    return e.groupBy("path").agg(F.count_if(F.col("effect") == "allow").alias("allowed"))
-
-
-@query(f"WITH {_policy(ADMIN, LIST)} SELECT path, effect FROM ev")
-def policy_check(s, d):
-    return G.evaluate(_requests(s, d, ["admin"], ["list"]), RULES).select("path", "effect")
-
-
-@query(f"WITH {_policy(ALICE, READ)}, l AS (SELECT f.lang AS sink, min(CASE WHEN ev.effect = 'allow' THEN 1 ELSE 0 END) AS ok FROM ev JOIN files f ON ev.path = f.path WHERE f.source = 'src1' OR f.lang = 'de' GROUP BY 1) SELECT sink, ok = 1 AS allowed FROM l")
-def policy_lineage_constraint(s, d):
-    f = files(s, d).filter("source = 'src1' or lang = 'de'").select("path", F.lit("alice").alias("principal"), F.lit("read").alias("permission"), F.col("lang").alias("sink"))
-    return G.evaluate(f, RULES).groupBy("sink").agg(F.bool_and(F.col("effect") == "allow").alias("allowed"))
-
-
 TOKENS = [(1, "alice", "/src1", ["read"], 1000), (2, "bob", "/src2", ["read", "write"], 5000), (3, "eve", "/", ["list"], 4970)]
 TOKENS_SQL = "tk AS (SELECT * FROM (VALUES (1, 'alice', '/src1', ['read'], 1000), (2, 'bob', '/src2', ['read', 'write'], 5000), (3, 'eve', '/', ['list'], 4970)) t(id, principal, scope, permissions, expires_at))"
 
@@ -549,34 +284,6 @@ def redact_check(s, d):
     return docs(s, d).agg(F.count("*").alias("checked"), F.count_if(G.has_pii(F.col("text"))).alias("with_pii"))
 
 
-def _audit(s, d):
-    b = X.table(s, d, "events").select(F.col("event_id").alias("seq"), "event_type", F.col("user_id").alias("actor"))
-    b = b.withColumn("hash", G.audit_hash("seq", "event_type", "actor"))
-    before = b.select((F.col("seq") + 1).alias("seq"), F.col("hash").alias("p"))
-    log = b.join(before, "seq", "left").withColumn("prev_hash", F.coalesce("p", F.lit("genesis"))).drop("p")
-    return log.withColumn("hash", F.when(F.col("seq") == 77, "tampered").otherwise(F.col("hash")))
-
-
-@query("SELECT event_id AS seq, event_id NOT IN (77, 78) AS ok FROM events")
-def audit_chain_verify(s, d):
-    return G.verify_chain(_audit(s, d), "seq", ["seq", "event_type", "actor"])
-
-
-@query(f"WITH {AUDIT} SELECT seq, event_type, actor, hash, prev_hash FROM audit WHERE seq BETWEEN 70 AND 90")
-def audit_export_range(s, d):
-    return _audit(s, d).filter(F.col("seq").between(70, 90)).select("seq", "event_type", "actor", "hash", "prev_hash")
-
-
-@query(f"WITH {AUDIT} SELECT seq, hash FROM audit WHERE seq >= 900")
-def audit_since(s, d):
-    return _audit(s, d).filter("seq >= 900").select("seq", "hash")
-
-
-def _tenants(s, d):
-    o = X.table(s, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum("o_totalprice").alias("u"), F.count("*").alias("running"))
-    return X.table(s, d, "customer").select("c_custkey").join(o, "c_custkey", "left").select(F.col("c_custkey").alias("tenant"), F.col("u").cast("long").alias("used"), F.coalesce("running", F.lit(1)).alias("running"))
-
-
 @query("WITH t AS (SELECT c_custkey AS tenant, count(o_orderkey) AS used FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1), q AS (SELECT tenant, used, CASE WHEN tenant % 7 = 0 THEN 0 ELSE 12 END AS most FROM t) SELECT tenant, CASE WHEN tenant % 11 = 0 THEN 'deny' WHEN most = 0 THEN 'allow' WHEN used + 1 > most THEN 'deny' WHEN used / most >= 0.9 THEN 'throttle' ELSE 'allow' END AS decision FROM q")
 def quota_write_check(s, d):
     used = X.table(s, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("used"))
@@ -592,33 +299,7 @@ def quota_concurrency(s, d):
     return t.select("tenant", F.when(F.coalesce("running", F.lit(0)) >= 10, "deny").otherwise("allow").alias("decision"))
 
 
-@query("SELECT c_custkey AS tenant, count(o_orderkey) <= 12 AS within FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
-def quota_within(s, d):
-    t = X.table(s, d, "orders").groupBy(F.col("o_custkey").alias("tenant")).agg(F.count("*").alias("n"))
-    t = X.table(s, d, "customer").select(F.col("c_custkey").alias("tenant")).join(t, "tenant", "left")
-    return t.select("tenant", (F.coalesce("n", F.lit(0)) <= 12).alias("within"))
-
-
 # Operations ---------------------------------------------------------------------------------------------------------
-@query("SELECT DISTINCT sha256(text) AS hash FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 4 = 0)")
-def backup_new_chunks(s, d):
-    f = files(s, d)
-    return f.select("hash").distinct().join(f.filter("doc_id % 4 = 0").select("hash"), "hash", "left_anti")
-
-
-@query(f"WITH {FILES} SELECT doc_id % 8 AS backup, doc_id % 8 = 0 AS is_full, CAST(sum(size) AS BIGINT) AS bytes, count(DISTINCT hash) AS chunks FROM files GROUP BY 1, 2")
-def backup_chain_summary(s, d):
-    g = files(s, d).groupBy((F.col("doc_id") % 8).alias("backup"))
-    return g.agg(F.sum("size").alias("bytes"), F.count_distinct("hash").alias("chunks")).select("backup", (F.col("backup") == 0).alias("is_full"), "bytes", "chunks")
-
-
-@query(f"WITH {FILES} SELECT count(*) AS objects, CAST(sum(size) AS BIGINT) AS bytes, round(CAST(sum(CASE WHEN rn = 1 THEN size ELSE 0 END) AS DOUBLE) / sum(size), 6) AS unique_ratio FROM (SELECT size, row_number() OVER (PARTITION BY hash ORDER BY doc_id) AS rn FROM files)")
-def backup_export_stats(s, d):
-    f = files(s, d).groupBy("hash").agg(F.count("*").alias("n"), F.min("size").alias("size"))
-    total = F.sum(F.col("n") * F.col("size"))
-    return f.agg(F.sum("n").alias("objects"), total.alias("bytes"), F.round(F.sum("size").cast("double") / total, 6).alias("unique_ratio"))
-
-
 @query("SELECT CAST(i AS INTEGER) AS idx FROM (VALUES (0, 0), (1, 3600), (2, 691200), (3, 604800), (4, 604801)) t(i, age) WHERE age > 604800")
 def retention_prune(s, d):
     ages = s.createDataFrame([([0, 3600, 691200, 604800, 604801],)], "ages array<int>")
@@ -638,77 +319,12 @@ def migration_skip_existing(s, d):
     return X.snapshot(f, 2).join(f.select("path"), "path", "left_anti").select("path")
 
 
-_CONTROLS_SQL = "c AS (SELECT * FROM (VALUES " + ", ".join(f"('{i}', {str(a).lower()})" for i, a in G.CONTROLS) + ") t(control_id, automated)), e AS (SELECT * FROM (VALUES " + ", ".join(f"('{i}', 'collected')" for i in G.EVIDENCE[:-1]) + f", ('{G.EVIDENCE[-1]}', 'stale')) t(control_id, status)), g AS (SELECT control_id, automated, coalesce(status = 'collected', false) AS covered, CASE WHEN status = 'collected' THEN NULL WHEN status = 'stale' THEN CASE WHEN automated THEN 'medium' ELSE 'low' END WHEN automated THEN 'high' ELSE 'medium' END AS severity FROM c LEFT JOIN e USING (control_id))"
-
-
-def _gaps(s):
-    controls = s.createDataFrame(list(G.CONTROLS), "control_id string, automated boolean")
-    evidence = s.createDataFrame([(i, k, "stale" if i == G.EVIDENCE[-1] else "collected", 1_000) for k, i in enumerate(G.EVIDENCE)], "control_id string, ord int, status string, collected_at long")
-    return G.gaps(controls, evidence, 2_000)
-
-
-@query(f"WITH {_CONTROLS_SQL} SELECT control_id, automated, covered, severity FROM g")
-def compliance_gaps(s, d):
-    return _gaps(s)
-
-
-@query(f"WITH {_CONTROLS_SQL} SELECT count(*) AS controls, count(*) FILTER (covered) AS covered, count(*) FILTER (severity = 'high') AS high, round(100.0 * count(*) FILTER (covered) / count(*), 4) AS coverage_pct, CASE WHEN count(*) FILTER (severity = 'critical') > 0 THEN 'non-compliant' WHEN count(*) FILTER (severity = 'high') > 0 THEN 'needs-attention' ELSE 'compliant' END AS status FROM g")
-def compliance_report(s, d):
-    high, critical = F.count_if(F.col("severity") == "high"), F.count_if(F.col("severity") == "critical")
-    status = F.when(critical > 0, "non-compliant").when(high > 0, "needs-attention").otherwise("compliant")
-    return _gaps(s).agg(F.count("*").alias("controls"), F.count_if("covered").alias("covered"), high.alias("high"), F.round(100 * F.count_if("covered") / F.count("*"), 4).alias("coverage_pct"), status.alias("status"))
-
-
-_CHAINS = "ch AS (SELECT s_suppkey AS id, CAST(floor(greatest(s_acctbal, 0)) AS BIGINT) AS free, s_nationkey AS rack FROM supplier)"
-
-
-def _chains(s, d):
-    return X.table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.floor(F.greatest("s_acctbal", F.lit(0.0))).alias("free"), F.col("s_nationkey").alias("rack"))
-
-
-@query(f"WITH {_CHAINS}, a AS (SELECT id, CAST(sum(free) OVER (ORDER BY id) AS BIGINT) AS acc FROM ch) SELECT id, acc FROM a WHERE acc > 10000 ORDER BY id LIMIT 1")
-def placement_capacity(s, d):
-    return G.pick_by_capacity(_chains(s, d), 10_000)
-
-
-@query(f"WITH {_CHAINS}, a AS (SELECT id, rack, row_number() OVER (PARTITION BY rack ORDER BY id) AS nth FROM ch) SELECT place, id, rack FROM (SELECT id, rack, CAST(row_number() OVER (ORDER BY nth, id) AS INTEGER) AS place FROM a) WHERE place <= 5")
-def placement_rack_aware(s, d):
-    return G.rack_aware(_chains(s, d), 5)
-
-
-@query(f"WITH {_CHAINS} SELECT CAST(sum(free) AS BIGINT) AS total FROM ch")
-def capacity_total(s, d):
-    return _chains(s, d).agg(F.sum("free").alias("total"))
-
-
-@query("WITH u AS (SELECT l_suppkey AS volume, CAST(sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS BIGINT) AS w, CAST(sum(CASE WHEN l_returnflag <> 'R' THEN l_quantity ELSE 0 END) AS BIGINT) AS r, count(*) % 3 AS k FROM lineitem GROUP BY 1), v AS (SELECT volume, r, w, CASE k WHEN 0 THEN 1048576 WHEN 1 THEN 20971520 ELSE 209715200 END AS a FROM u) SELECT volume, CASE WHEN r + w = 0 THEN 'interactive' WHEN w > r AND a < 2097152 THEN 'streaming' WHEN r / (r + w) >= 0.9 AND a > 104857600 THEN 'training' WHEN r / (r + w) >= 0.9 AND a < 10485760 THEN 'inference' WHEN w > r THEN 'build' ELSE 'interactive' END AS kind FROM v")
-def tuning_recommend(s, d):
-    li = X.table(s, d, "lineitem")
-    q = lambda c: F.sum(F.when(c, F.col("l_quantity")).otherwise(0)).cast("long")
-    u = li.groupBy(F.col("l_suppkey").alias("volume")).agg(q(F.col("l_returnflag") == "R").alias("w"), q(F.col("l_returnflag") != "R").alias("r"), (F.count("*") % 3).alias("k"))
-    a = F.when(F.col("k") == 0, 1 << 20).when(F.col("k") == 1, 20 << 20).otherwise(200 << 20)
-    return u.select("volume", G.recommend(F.col("r"), F.col("w"), a).alias("kind"))
-
-
 @query("SELECT user_id, count(*) FILTER ((epoch_us(ts) // 1000) > 1705000000000) AS active FROM events GROUP BY 1")
 def sessions_active(s, d):
     return X.table(s, d, "events").groupBy("user_id").agg(F.count_if(F.unix_millis(F.col("ts").cast("timestamp")) > 1_705_000_000_000).alias("active"))
 
 
-@query(f"WITH {FILES}, {V2} SELECT 0 AS corrupt, count(*) FILTER (hash NOT IN (SELECT hash FROM v2)) = (SELECT count(*) FROM files WHERE hash NOT IN (SELECT hash FROM v2)) AS gc_safe FROM files")
-def chaos_invariants(s, d):
-    f = files(s, d)
-    swept = C.mark_sweep(f.select("hash").distinct(), X.snapshot(f, 2))
-    lost = X.snapshot(f, 2).join(swept, "hash", "left_semi").agg((F.count("*") == 0).alias("gc_safe"))
-    return f.agg(F.count_if(F.sha2("text", 256) != F.col("hash")).cast("int").alias("corrupt")).crossJoin(lost)
-
-
 # Text ---------------------------------------------------------------------------------------------------------------
-@query("SELECT event_id, 'k' AS strings FROM events")
-def extract_json_strings(s, d):
-    return X.table(s, d, "events").select("event_id", T.extract_json(F.col("props")).alias("strings"))
-
-
 @query("SELECT doc_id, sha256(array_to_string([trim(x, ' ') FOR x IN regexp_split_to_array(text, '[,\\n]') IF trim(x, ' ') <> ''], ' ')) AS cells FROM documents")
 def extract_csv_cells(s, d):
     return docs(s, d).select("doc_id", F.sha2(T.csv_cells(F.col("text")), 256).alias("cells"))
@@ -727,27 +343,11 @@ def file_extension(s, d):
     return X.table(s, d, "pages").select("page_id", T.extension(F.col("url")).alias("ext"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'json' WHEN doc_id % 3 = 1 THEN 'python' ELSE 'binary' END AS type FROM documents")
-def content_type(s, d):
-    ext = F.when(F.col("doc_id") % 3 == 0, ".json").when(F.col("doc_id") % 3 == 1, ".PY").otherwise(".bin")
-    return docs(s, d).select("doc_id", T.content_type(F.concat(F.lit("/a/x"), ext)).alias("type"))
-
-
-@query("SELECT doc_id, length(text) > 0 AS is_text FROM documents")
-def looks_like_text(s, d):
-    return docs(s, d).select("doc_id", T.looks_like_text(F.col("text")).alias("is_text"))
-
-
 @query("SELECT page_id, sha256(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')) AS escaped FROM pages")
 def xml_escape(s, d):
     return X.table(s, d, "pages").select("page_id", F.sha2(T.xml_escape(F.col("html")), 256).alias("escaped"))
 
 
-@query(f"WITH {FILES} SELECT path, substring(hash, 1, 12) AS short FROM files")
-def hash_hex(s, d):
-    return files(s, d).select("path", F.substring("hash", 1, 12).alias("short"))
-
-
 @query("SELECT event_id, (epoch_us(ts) // 1000) AS ms FROM events")
 def iso_time_parse(s, d):
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
@@ -793,16 +393,6 @@ def kv_prefix_scan(s, d):
     return files(s, d).filter(F.col("path").startswith("/src1")).select("path", "hash").orderBy("path")
 
 
-@query(f"WITH {FILES} SELECT path, sha256(hash||'|'||size) AS seal FROM files")
-def manifest_seal_verify(s, d):
-    return files(s, d).select("path", G.audit_hash("hash", "size").alias("seal"))
-
-
-@query(f"SELECT doc_id, length({_redact_sql('text')}) AS n FROM documents WHERE lang <> 'fr'")
-def ingest_documents(s, d):
-    return docs(s, d).filter("lang <> 'fr'").select("doc_id", F.char_length(G.redact(F.col("text"))).cast("long").alias("n"))
-
-
 @query("SELECT date_trunc('hour', ts) IS NOT NULL AS ok, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_rollup(s, d):
     r = R.stream_rollup(X.table(s, d, "events"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lakeloom.functions import text as T
 from lakeloom.operators import content as C
 from lakeloom.operators import governance as G
-from lakeloom.plans.registry import AUDIT, CHUNKS, COMMITS, EDGES, FILES, _audit, _redact_sql, docs, edges, files, query
+from lakeloom.plans.registry import CHUNKS, COMMITS, EDGES, FILES, _redact_sql, docs, edges, files, query
 from lakeloom.sources import connectors as K
 from lakeloom.sources import fixtures as X
 from lakeloom.streaming import rollups as R
@@ -28,12 +28,6 @@ def jsonl_scan_tolerant(s, d):
     return K.read_jsonl(s, path, "id long, ts long, kind string, source_hash string, sink_hash string")
 
 
-@query(f"WITH {AUDIT}, m AS (SELECT max(seq) AS last, arg_max(hash, seq) AS last_hash FROM audit), n AS (SELECT last + 1 + event_id AS seq, event_type, user_id AS actor, last_hash, event_id AS n FROM events, m WHERE event_id < 20), h AS (SELECT *, sha256(seq||'|'||event_type||'|'||actor) AS hash FROM n) SELECT x.seq, x.event_type, x.actor, x.hash, coalesce(y.hash, x.last_hash) AS prev_hash FROM h x LEFT JOIN h y ON y.n = x.n - 1")
-def audit_append(s, d):
-    new = X.table(s, d, "events").filter("event_id < 20").select(F.col("event_id").alias("n"), "event_type", F.col("user_id").alias("actor"))
-    return G.append_audit(_audit(s, d), new, ["seq", "event_type", "actor"])
-
-
 # Stores and versions -------------------------------------------------------------------------------------------------
 @query(f"WITH {FILES}, {CHUNKS}, h AS (SELECT DISTINCT path, sha256(data) AS hash FROM chunks) SELECT DISTINCT hash FROM h WHERE hash NOT IN (SELECT h.hash FROM h JOIN files ON h.path = files.path WHERE doc_id % 50 = 0)")
 def chunk_delete(s, d):
@@ -73,17 +67,6 @@ def agent_fork(s, d):
     return C.fork(files(s, d).select("path", "hash"), "/src3", "/agents/a1")
 
 
-@query("SELECT source AS volume, doc_id % 8 AS id, CASE WHEN doc_id % 8 = 0 THEN NULL ELSE doc_id % 8 - 1 END AS parent_id, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents WHERE source IN (SELECT source FROM documents GROUP BY source HAVING count(DISTINCT doc_id % 8) = 8) GROUP BY 1, 2, 3")
-def backup_record(s, d):
-    """Backups of each volume that has all eight, with the one before as parent."""
-    from pyspark.sql import Window
-
-    g = files(s, d).groupBy(F.col("source").alias("volume"), (F.col("doc_id") % 8).alias("id")).agg(F.sum("size").alias("bytes"))
-    w = Window.partitionBy("volume")
-    g = g.withColumns({"parent_id": F.lag("id").over(w.orderBy("id")), "n": F.count("*").over(w)})
-    return g.filter("n = 8 and volume is not null").select("volume", "id", "parent_id", "bytes")
-
-
 @query(f"WITH {FILES} SELECT path, doc_id||'.txt' AS name, substring(hash, 1, 12) AS short, 'binary' AS type FROM files")
 def explorer_columns(s, d):
     return files(s, d).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.substring("hash", 1, 12).alias("short"), T.content_type(F.col("path")).alias("type"))
@@ -114,65 +97,12 @@ def read_text_redacted(s, d):
     return docs(s, d).select("doc_id", F.sha2(G.redact(T.utf8(content)), 256).alias("text"))
 
 
-@query("SELECT doc_id, length(text) AS n FROM documents")
-def ingest_allow_all(s, d):
-    return docs(s, d).filter(F.lit(True)).select("doc_id", F.char_length("text").cast("long").alias("n"))
-
-
 @query("SELECT event_id, 'k k '||event_type AS strings FROM events")
 def extract_jsonl(s, d):
     lines = F.concat_ws("\n", "props", F.lit("no json"), F.to_json(F.struct(F.col("event_type").alias("k"))))
     return X.table(s, d, "events").select("event_id", T.extract_json_lines(lines).alias("strings"))
 
 
-def _archive(name: str, content: str) -> bytes:
-    b = io.BytesIO()
-    with zipfile.ZipFile(b, "w") as z:
-        z.writestr(name, content)
-    return b.getvalue()
-
-
-def _built(s, d, build):
-    """Files of a binary format that hold each document's source and language."""
-    made = F.pandas_udf(lambda a, b: pd.Series([build(x, y) for x, y in zip(a, b, strict=True)]), "binary")
-    return docs(s, d).select("doc_id", made(F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-"))).alias("content"))
-
-
-_SOURCE_LANG = "coalesce(source, '-')||' '||coalesce(lang, '-')"
-
-
-@query(f"SELECT doc_id, {_SOURCE_LANG} AS text FROM documents")
-def extract_ooxml(s, d):
-    f = _built(s, d, lambda a, b: _archive("word/document.xml", f"<d><t>{a}</t><t> {b} </t></d>"))
-    return f.select("doc_id", T.extract_binary(F.col("content"), "docx").alias("text"))
-
-
-@query(f"SELECT doc_id, {_SOURCE_LANG} AS text FROM documents")
-def extract_pdf(s, d):
-    f = _built(s, d, lambda a, b: f"%PDF stream BT ({a}) Tj <{b.encode().hex()}> Tj ET endstream".encode())
-    return f.select("doc_id", T.extract_binary(F.col("content"), "pdf").alias("text"))
-
-
-@query(f"SELECT doc_id, 'by '||coalesce(source, '-')||' lang '||coalesce(lang, '-')||' n' AS text FROM documents")
-def extract_zarr(s, d):
-    f = _built(s, d, lambda a, b: _archive("x/.zattrs", json.dumps({"lang": b, "by": a, "n": 1})))
-    return f.select("doc_id", T.extract_binary(F.col("content"), "zarr").alias("text"))
-
-
-def _tensor_file(x) -> bytes:
-    head = json.dumps({"e": {"dtype": "F32", "shape": [len(x)], "data_offsets": [0, 4 * len(x)]}}).encode()
-    return len(head).to_bytes(8, "little") + head + b"".join([bytes(4)] * len(x))
-
-
-@query("WITH h AS (SELECT vec_id, len(embedding) AS n FROM embeddings), k AS (SELECT *, 8 + strlen('{\"e\": {\"dtype\": \"F32\", \"shape\": ['||n||'], \"data_offsets\": [0, '||4 * n||']}}') AS a FROM h) SELECT vec_id, 'e' AS name, 'F32' AS dtype, n AS elements, a AS first, a + 4 * n AS last FROM k")
-def safetensors_tensors(s, d):
-    """A row for each tensor of files that hold one vector each, with its absolute byte range."""
-    made = F.pandas_udf(lambda v: v.map(_tensor_file), "binary")
-    rows = F.pandas_udf(lambda c: c.map(lambda b: [{"name": n, "dtype": t, "elements": int(pd.Series(shape).prod()), "first": i, "last": j} for n, t, shape, i, j in T.tensor_header(bytes(b))]), "array<struct<name:string,dtype:string,elements:long,first:long,last:long>>")
-    f = X.table(s, d, "embeddings").select("vec_id", made("embedding").alias("content"))
-    return f.select("vec_id", F.inline(rows("content")))
-
-
 # Sources and streams -------------------------------------------------------------------------------------------------
 @query()
 def source_list_limited(s, d):

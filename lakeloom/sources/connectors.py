@@ -61,5 +61,22 @@ def append_jsonl(rows: DataFrame, path: str) -> None:
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of JSON lines; blank lines and those that don't parse are dropped."""
+    """Rows of JSON lines; blank lines and those that don't parse are dropped. A folder that isn't there has none."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+
+
+def save_registry(rows: DataFrame, path: str) -> None:
+    """Write a small table of settings as JSON lines, in place of what is there."""
+    rows.write.mode("overwrite").json(path)
+
+
+def load_registry(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Rows that save_registry() wrote; a folder that isn't there has none."""
+    return spark.read.schema(schema).json(path) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)

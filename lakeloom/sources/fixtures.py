@@ -47,8 +47,27 @@ def commits(orders: DataFrame) -> DataFrame:
     return orders.select(F.col("o_orderkey").alias("hash"), F.lag("o_orderkey").over(w).alias("parent"), F.col("o_custkey").alias("author"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("ts"))
 
 
-def chunks(fs: DataFrame, size: int = 4096) -> DataFrame:
-    """path, pos, hash, length, data: fixed windows of each file's text, in characters."""
-    from lakeloom.operators.content import windows
+def history(orders: DataFrame) -> DataFrame:
+    """hash, parents, author, email, ts, tree, message: each customer's orders by date as commits; some have a second parent,
+    the next customer's first one."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    o = orders.select(F.col("o_orderkey").alias("hash"), F.col("o_custkey").alias("c"), F.lag("o_orderkey").over(w).alias("before"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("ts"))
+    first = orders.groupBy((F.col("o_custkey") - 1).alias("c")).agg(F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("merged"))
+    second = F.when(F.col("hash") % 10 == 0, F.col("merged"))
+    parents = F.when(F.col("before").isNull(), F.array().cast("array<bigint>")).otherwise(F.array_compact(F.array("before", second)))
+    author = F.concat(F.lit("u"), F.col("c").cast("string"))
+    said = F.concat(F.lit("order "), F.col("hash").cast("string"))
+    return o.join(first, "c", "left").select("hash", parents.alias("parents"), author.alias("author"), F.concat(author, F.lit("@example.com")).alias("email"), "ts", F.sha2(F.concat(F.lit("t"), F.col("hash").cast("string")), 256).alias("tree"), said.alias("message"))
+
+
+#: Bytes of a chunk in these tables, small so that documents have several.
+CHUNK = 4096
+
+
+def chunks(fs: DataFrame, size: int = CHUNK) -> DataFrame:
+    """path, pos, hash, length, data: fixed windows of each file's bytes."""
+    from lakeloom.operators.store import chunk_rows
 
-    return windows(fs, size)
+    return chunk_rows(fs.select("path", F.col("text").cast("binary").alias("data")), size)
