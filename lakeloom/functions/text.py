@@ -202,7 +202,7 @@ def identifier_strings(data: bytes) -> str:
             i += 4 + n
         else:
             i += 1
-    return " ".join(out)
+    return " ".join(out).strip()
 
 
 _IDENTIFIER = re.compile(rb"[A-Za-z0-9_][A-Za-z0-9_\-. /]*")

@@ -2,30 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def windows(files: DataFrame, size: int) -> DataFrame:
-    """path, pos, hash, length, data: each file's text in windows of size characters; an empty one has none."""
-    starts = F.when(F.char_length("text") > 0, F.sequence(F.lit(0), F.char_length("text") - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
-    data = F.substring("text", F.col("start") + 1, F.lit(size))
-    cut = files.select("path", "text", F.posexplode(starts).alias("pos", "start")).select("path", "pos", data.alias("data"))
-    return cut.select("path", "pos", F.sha2("data", 256).alias("hash"), F.char_length("data").alias("length"), "data")
-
-
 def put_new(existing: DataFrame, new: DataFrame) -> DataFrame:
     """Rows of new whose hash isn't there yet, each hash once."""
     return new.dropDuplicates(["hash"]).join(existing.select("hash"), "hash", "left_anti")
 
 
-def reassemble(chunks: DataFrame) -> DataFrame:
-    """path, text of the chunks in order, with n_bad chunks whose hash or length is wrong."""
-    bad = (F.sha2("data", 256) != F.col("hash")) | (F.char_length("data") != F.col("length"))
-    g = chunks.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("pos", "data"))).alias("parts"), F.count_if(bad).alias("n_bad"))
-    return g.select("path", F.concat_ws("", F.transform("parts", lambda p: p["data"])).alias("text"), "n_bad")
-
-
 def under(path: Column, root: str) -> Column:
     """Whether a path is root or below it, by whole segments."""
     root = root.rstrip("/")
@@ -34,14 +19,14 @@ def under(path: Column, root: str) -> Column:
 
 def rename(files: DataFrame, old: str, new: str) -> DataFrame:
     """A snapshot in which old's subtree stands at new, over what was there."""
-    moved = files.filter(under(F.col("path"), old)).withColumn("path", F.concat(F.lit(new), F.substring("path", len(old) + 1, 1 << 20)))
+    moved = files.filter(under(F.col("path"), old)).withColumn("path", F.concat(F.lit(new.rstrip("/")), F.substr("path", F.lit(len(old.rstrip("/")) + 1))))
     kept = files.filter(~under(F.col("path"), old)).join(moved.select("path"), "path", "left_anti")
     return kept.unionByName(moved)
 
 
 def fork(files: DataFrame, old: str, new: str) -> DataFrame:
     """files with a copy of old's subtree at new; contents are shared by hash."""
-    copied = files.filter(under(F.col("path"), old)).withColumn("path", F.concat(F.lit(new), F.substring("path", len(old) + 1, 1 << 20)))
+    copied = files.filter(under(F.col("path"), old)).withColumn("path", F.concat(F.lit(new.rstrip("/")), F.substr("path", F.lit(len(old.rstrip("/")) + 1))))
     return files.join(copied.select("path"), "path", "left_anti").unionByName(copied)
 
 
@@ -52,29 +37,6 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return j.filter(~F.col("a").eqNullSafe(F.col("b"))).select(op.alias("op"), "path")
 
 
-def changed_directories(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Directories whose digest differs: a first step that spares equal subtrees in diff()."""
-    digest = lambda df: df.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("dir")).agg(F.sum(F.xxhash64("path", "hash").cast("decimal(38,0)")).alias("d"))
-    a, b = digest(old).withColumnRenamed("d", "a"), digest(new).withColumnRenamed("d", "b")
-    return a.join(b, "dir", "full_outer").filter(~F.col("a").eqNullSafe(F.col("b"))).select("dir")
-
-
-def first_parent_log(commits: DataFrame, depth: int) -> DataFrame:
-    """author, depth, hash: the newest commits of each author's chain, in order from the head."""
-    w = Window.partitionBy("author").orderBy(F.desc("ts"), F.desc("hash"))
-    return commits.withColumn("depth", F.row_number().over(w) - 1).filter(F.col("depth") < depth).select("author", "depth", "hash")
-
-
-def mark_sweep(all_chunks: DataFrame, roots: DataFrame) -> DataFrame:
-    """Chunks (hash) that no root file reaches. roots: path, hash of chunks in reachable files."""
-    return all_chunks.join(roots.select("hash").distinct(), "hash", "left_anti")
-
-
-def refcounts(file_chunks: DataFrame) -> DataFrame:
-    """References of each chunk from unique file contents; repeats within a file count."""
-    return file_chunks.groupBy("hash").agg(F.count("*").alias("refs"))
-
-
 def normal_path(path: Column) -> Column:
     """Slashes for backslashes, one for several, none at the end; null for a relative path or one with . or .. in it."""
     p = F.regexp_replace(F.regexp_replace(path, r"\\", "/"), "/+", "/")
@@ -105,3 +67,21 @@ def branch_results(branches: DataFrame, operations: DataFrame, current: str) ->
 def empty_store(spark: SparkSession) -> DataFrame:
     """The one row of a new store: its root, the root's content id, and the branch that HEAD points at."""
     return spark.range(1).select(F.lit("/").alias("path"), F.lit("dir").alias("kind"), F.sha2(F.lit(""), 256).alias("hash"), F.lit("main").alias("branch"))
+
+
+def transfer(objects: DataFrame, files: DataFrame, by_hash: bool = False) -> DataFrame:
+    """objects (path, size, readable, and hash with by_hash) with outcome and bytes of a migration: skipped where the path (or
+    the content) is there already, failed where it can't be read, else transferred."""
+    key = "hash" if by_hash else "path"
+    there = files.select(key).distinct().withColumn("there", F.lit(True))
+    j = objects.join(there, key, "left")
+    outcome = F.when(F.col("there").isNotNull(), "skipped").when(~F.col("readable"), "failed").otherwise("transferred")
+    return j.withColumn("outcome", outcome).select(*objects.columns, "outcome", F.when(F.col("outcome") == "transferred", F.col("size")).otherwise(0).cast("long").alias("bytes"))
+
+
+def transfer_stats(results: DataFrame) -> DataFrame:
+    """Counts by outcome, bytes, and the share that didn't fail: 1 if there was nothing to do."""
+    n = lambda x: F.count_if(F.col("outcome") == x)
+    total, failed = F.count("*"), n("failed")
+    rate = F.when(total == 0, 1.0).otherwise((total - failed) / total)
+    return results.agg(total.alias("total"), n("transferred").alias("transferred"), n("skipped").alias("skipped"), failed.alias("failed"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.round(rate, 6).alias("success_rate"))

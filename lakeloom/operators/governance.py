@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -206,7 +207,7 @@ def mixed(hash_: Column, n: int) -> Column:
 
 def round_robin(hash_: Column, chains: Column) -> Column:
     """Place (from 0) of a hash's chain: its number modulo the number of chains."""
-    return (mixed(hash_, 8) % F.size(chains).cast("decimal(38,0)")).cast("int")
+    return F.try_mod(mixed(hash_, 8), F.size(chains).cast("decimal(38,0)")).cast("int")
 
 
 def capacity_aware(hash_: Column, chains: Column) -> Column:
@@ -214,7 +215,7 @@ def capacity_aware(hash_: Column, chains: Column) -> Column:
     if none has any."""
     free = F.transform(chains, lambda c: c["free"].cast("decimal(38,0)"))
     total = F.aggregate(free, F.lit(0).cast("decimal(38,0)"), lambda a, x: (a + x).cast("decimal(38,0)"))
-    target = mixed(hash_, 16) % total
+    target = F.try_mod(mixed(hash_, 16), total)
     start = F.struct(F.lit(0).cast("decimal(38,0)").alias("acc"), F.lit(0).alias("n"))
     passed = F.aggregate(free, start, lambda a, x: F.struct((a["acc"] + x).cast("decimal(38,0)").alias("acc"), F.when(target >= a["acc"] + x, a["n"] + 1).otherwise(a["n"]).alias("n")))
     return F.when(total == 0, round_robin(hash_, chains)).otherwise(F.least(passed["n"], F.size(chains) - 1))
@@ -240,3 +241,39 @@ def replicas(objects: DataFrame, chains: DataFrame, n: int, primary=capacity_awa
 def bytes_fraction(used: Column, most: Column) -> Column:
     """Share of the quota in use; 0 without a limit."""
     return F.when(most == 0, 0.0).otherwise(used / most)
+
+
+# Schedules, tokens ---------------------------------------------------------------------------------------------------
+def next_run(schedule: dict, after: "datetime.datetime") -> "datetime.datetime | None":
+    """When a schedule is due next: {"interval_secs": n}, {"cron": "minute hour day month weekday"} of numbers, lists and *, or
+    {} for by hand only. ValueError for one that can't be read, or that is never due."""
+    if "interval_secs" in schedule:
+        return after + datetime.timedelta(seconds=int(schedule["interval_secs"]))
+    if "cron" not in schedule:
+        return None
+    parts = schedule["cron"].split()
+    if len(parts) != 5:
+        raise ValueError(f"not a schedule: {schedule['cron']}")
+    allowed = [None if p == "*" else {int(x) for x in p.split(",")} for p in parts]
+    at = after.replace(second=0, microsecond=0) + datetime.timedelta(minutes=1)
+    fits = lambda k, v: allowed[k] is None or v in allowed[k]
+    last = at + datetime.timedelta(days=366 * 8)
+    while at < last:
+        if not (fits(2, at.day) and fits(3, at.month) and fits(4, at.isoweekday() % 7)):
+            at = at.replace(hour=0, minute=0) + datetime.timedelta(days=1)
+        elif not fits(1, at.hour):
+            at = at.replace(minute=0) + datetime.timedelta(hours=1)
+        elif not fits(0, at.minute):
+            at += datetime.timedelta(minutes=1)
+        else:
+            return at
+    raise ValueError(f"never due: {schedule['cron']}")
+
+
+#: Fixed value: seconds by which a token may be late.
+LEEWAY_S = 30
+
+
+def token_state(now: Column, expires_at: Column, revoked: Column, signed: Column) -> Column:
+    """revoked, expired, bad signature or ok, in this order."""
+    return F.when(revoked, "revoked").when(now > expires_at + LEEWAY_S, "expired").when(~signed, "bad signature").otherwise("ok")

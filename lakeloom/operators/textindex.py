@@ -86,7 +86,7 @@ class Group:
     clauses: list[tuple[str, "Leaf | Group"]] = field(default_factory=list)
 
 
-_LEXEMES = re.compile(r'\s*(?:(?P<op>AND|OR|NOT)(?=[\s(])|(?P<sign>[+\-])(?=\S)|(?P<open>\()|(?P<close>\))|(?:(?P<field>text|path):)?(?:"(?P<phrase>[^"]*)"|(?P<word>[^\s()"]+)))')
+_LEXEMES = re.compile(r'\s*(?:(?P<op>AND|OR|NOT)(?=[\s(]|$)|(?P<sign>[+\-])(?=\S)|(?P<open>\()|(?P<close>\))|(?:(?P<field>text|path):)?(?:"(?P<phrase>[^"]*)"|(?P<word>[^\s()"]+)))')
 
 
 def parse(text: str) -> Group:

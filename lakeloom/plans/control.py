@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from lakeloom.functions.text import hmac_sha256
 from lakeloom.operators import audit as A
 from lakeloom.operators import governance as G
 from lakeloom.plans.registry import FILES, TENANTS, files, query
@@ -75,6 +76,23 @@ def scope_filter(s, d):
     return files(s, d).select("path", G.in_scope(path, "/src1").alias("inside"), G.in_scope(path, "src1", raw=True).alias("raw"))
 
 
+_TOKEN_KEY = b"signing key of the store"
+_PADS = ["".join(f"{b ^ x:02X}" for b in _TOKEN_KEY.ljust(64, b"\0")) for x in (0x36, 0x5C)]
+
+
+@query(f"WITH t AS (SELECT c_custkey AS id, c_name, c_custkey * 100 AS expires_at, c_custkey||'|'||c_name||'|'||c_custkey * 100 AS body FROM customer), m AS (SELECT *, sha256(unhex('{_PADS[1]}')||unhex(sha256(unhex('{_PADS[0]}')||encode(body)))) AS signature FROM t) SELECT id, signature, CASE WHEN id % 7 = 0 THEN 'revoked' WHEN 5000 > expires_at + 30 THEN 'expired' WHEN id % 13 = 0 THEN 'bad signature' ELSE 'ok' END AS state FROM m")
+def token_valid(s, d):
+    """Tokens with a signature over their fields: some are revoked, some too old, and some were changed after they were signed."""
+    c = X.table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("principal"), (F.col("c_custkey") * 100).alias("expires_at"))
+    body = lambda who: F.concat_ws("|", F.col("id").cast("string"), who, F.col("expires_at").cast("string")).cast("binary")
+    c = c.withColumn("signature", hmac_sha256(_TOKEN_KEY, body(F.col("principal"))))
+    said = F.when(F.col("id") % 13 == 0, F.concat("principal", F.lit("!"))).otherwise(F.col("principal"))
+    revoked = c.filter("id % 7 = 0").select("id", F.lit(True).alias("revoked"))
+    j = c.withColumn("principal", said).join(revoked, "id", "left")
+    signed = F.col("signature") == hmac_sha256(_TOKEN_KEY, body(F.col("principal")))
+    return j.select("id", "signature", G.token_state(F.lit(5000), F.col("expires_at"), F.coalesce("revoked", F.lit(False)), signed).alias("state"))
+
+
 # Audit ---------------------------------------------------------------------------------------------------------------
 def _json(prev: str) -> str:
     return f"""sha256('{{"actor":"'||actor||'","detail":{{"n":"'||n||'"}},"event_type":"'||event_type||'","prev_hash":"'||{prev}||'","seq":'||seq||',"subject":"'||subject||'","ts":'||ts||'}}')"""

@@ -13,7 +13,6 @@ from lakeloom.operators import governance as G
 from lakeloom.operators import lineage as L
 from lakeloom.operators import search as S
 from lakeloom.sources import fixtures as X
-from lakeloom.streaming import rollups as R
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -24,7 +23,6 @@ FILES = "files AS (SELECT '/'||source||'/'||lang||'/'||doc_id||'.txt' AS path, s
 EDGES = "edges AS (SELECT event_id AS id, (epoch_us(ts) // 1000) AS ts, CASE event_type WHEN 'view' THEN 'read' WHEN 'click' THEN 'write' WHEN 'purchase' THEN 'derive' WHEN 'signup' THEN 'copy' WHEN 'error' THEN 'transform' END AS kind, 'u'||(user_id % 40) AS source_hash, 'u'||(event_id % 97) AS sink_hash, event_type AS agent FROM events)"
 VECTORS = "vectors AS (SELECT sha256(CAST(vec_id AS VARCHAR)) AS file_hash, vec_id, embedding, label, CASE WHEN label % 2 = 0 THEN 'm-v1' ELSE 'm-v2' END AS model_version, false AS stale FROM embeddings)"
 V1 = "v1 AS (SELECT path, hash FROM files)"
-V2 = "v2 AS (SELECT path, CASE WHEN doc_id % 7 = 0 THEN sha256(hash||'v2') ELSE hash END AS hash FROM files WHERE doc_id % 11 <> 0 UNION ALL SELECT path||'.new', hash FROM files WHERE doc_id % 13 = 0)"
 COMMITS = "commits AS (SELECT o_orderkey AS hash, lag(o_orderkey) OVER w AS parent, o_custkey AS author, (epoch_us(o_orderdate) // 1000) AS ts FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))"
 CHUNKS = "fx AS (SELECT path, hex(encode(text)) AS hx FROM files), chunks AS (SELECT path, CAST(i AS INTEGER) AS pos, unhex(substr(hx, CAST(i * 8192 + 1 AS BIGINT), 8192)) AS data FROM fx, unnest(range(0, CAST(ceil(length(hx) / 8192.0) AS BIGINT))) u(i))"
 TENANTS = "t AS (SELECT c_custkey AS tenant, CAST(sum(o_totalprice) AS BIGINT) AS used, count(*) AS running FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1)"
@@ -42,7 +40,7 @@ def query(sql: str | None = None):
 
 def _load() -> None:
     """Let the modules that import this one register their queries."""
-    from lakeloom.plans import control, searches, stores, texts, versions  # noqa: F401
+    from lakeloom.plans import control, graphs, searches, service, stores, texts, versions  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
@@ -115,52 +113,6 @@ def vector_upsert(s, d):
 
 
 # Lineage ------------------------------------------------------------------------------------------------------------
-@query(f"WITH {EDGES} SELECT id, ts, kind, source_hash, sink_hash, agent FROM edges WHERE sink_hash = 'u7'")
-def lineage_parents(s, d):
-    return L.parents(edges(s, d), "u7")
-
-
-@query(f"WITH {EDGES} SELECT id, ts, kind, source_hash, sink_hash, agent FROM edges WHERE source_hash = 'u7'")
-def lineage_children(s, d):
-    return L.children(edges(s, d), "u7")
-
-
-def _reach(up: bool, depth: int = 3) -> str:
-    near, far = ("sink_hash", "source_hash") if up else ("source_hash", "sink_hash")
-    return f"WITH RECURSIVE {EDGES}, pairs AS (SELECT DISTINCT {near} AS n, {far} AS f FROM edges), r(node, depth) AS (SELECT 'u50', 0 UNION SELECT f, depth + 1 FROM r JOIN pairs ON n = node WHERE depth < {depth - 1}) SELECT id, kind, source_hash, sink_hash FROM edges WHERE {near} IN (SELECT node FROM r)"
-
-
-@query(_reach(True))
-def lineage_ancestors_d3(s, d):
-    return L.reach(edges(s, d), "u50", 3, up=True).select("id", "kind", "source_hash", "sink_hash")
-
-
-@query(_reach(False))
-def lineage_descendants_d3(s, d):
-    return L.reach(edges(s, d), "u50", 3, up=False).select("id", "kind", "source_hash", "sink_hash")
-
-
-@query(f"WITH {EDGES} SELECT sink_hash, count(*) AS n_inputs, min(source_hash) AS first_source FROM edges WHERE sink_hash = 'u7' GROUP BY 1")
-def lineage_provenance(s, d):
-    p = L.provenance(edges(s, d), "u7")
-    return p.select("sink_hash", F.size("inputs").cast("long").alias("n_inputs"), F.array_min(F.transform("inputs", lambda x: x["source_hash"])).alias("first_source"))
-
-
-@query(f"WITH {EDGES} SELECT count(*) FILTER (sink_hash = 'u7') AS parents, count(*) FILTER (source_hash = 'u7') AS children FROM edges")
-def lineage_show(s, d):
-    return edges(s, d).agg(F.count_if(F.col("sink_hash") == "u7").alias("parents"), F.count_if(F.col("source_hash") == "u7").alias("children"))
-
-
-@query(f"WITH {EDGES}, b AS (SELECT *, ts - ts % 3600000 AS bucket FROM edges), k AS (SELECT bucket, kind, count(*) AS n FROM b GROUP BY 1, 2), e AS (SELECT bucket, count(DISTINCT source_hash) AS sources, count(DISTINCT sink_hash) AS sinks FROM b GROUP BY 1) SELECT bucket, kind, n, sources, sinks FROM k JOIN e USING (bucket)")
-def lineage_rollup_1h(s, d):
-    return L.rollup(edges(s, d), 3_600_000)
-
-
-@query(f"WITH {EDGES} SELECT ts - ts % 3600000 AS bucket, count(*) AS total FROM edges GROUP BY 1")
-def lineage_rollup_total(s, d):
-    return L.rollup(edges(s, d), 3_600_000).groupBy("bucket").agg(F.sum("n").alias("total"))
-
-
 @query(f"WITH {EDGES} SELECT min(ts) AS first_ts, max(ts) AS last_ts FROM edges")
 def lineage_ts_bounds(s, d):
     return edges(s, d).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
@@ -176,12 +128,6 @@ def lineage_record_valid(s, d):
     return L.valid(edges(s, d)).select("id", "kind")
 
 
-@query(f"WITH {EDGES} SELECT id, kind FROM edges WHERE id < 100 UNION ALL SELECT id + 1000000, kind FROM edges WHERE id < 10")
-def lineage_append(s, d):
-    e = edges(s, d).select("id", "kind")
-    return e.filter("id < 100").unionByName(e.filter("id < 10").withColumn("id", F.col("id") + 1_000_000))
-
-
 # Content and files --------------------------------------------------------------------------------------------------
 @query("SELECT DISTINCT sha256(text) AS hash FROM documents WHERE doc_id % 2 = 1 AND text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0)")
 def chunk_put_new(s, d):
@@ -214,9 +160,6 @@ def path_normalize(s, d):
 
 
 # Versions -----------------------------------------------------------------------------------------------------------
-DIFF = f"WITH {FILES}, {V1}, {V2} SELECT CASE WHEN v1.path IS NULL THEN 'add' WHEN v2.path IS NULL THEN 'del' ELSE 'mod' END AS op, coalesce(v1.path, v2.path) AS path FROM v1 FULL OUTER JOIN v2 ON v1.path = v2.path WHERE v1.hash IS DISTINCT FROM v2.hash"
-
-
 @query(f"WITH {COMMITS}, w AS (SELECT * FROM (VALUES ('5'), ('b7'), ('nope')) t(name)), b AS (SELECT 'b'||author AS name, max(hash) AS hash FROM commits GROUP BY 1) SELECT w.name, coalesce(c.hash, b.hash) AS hash FROM w LEFT JOIN commits c ON CAST(c.hash AS VARCHAR) = w.name LEFT JOIN b ON b.name = w.name")
 def commitish_resolve(s, d):
     c = X.commits(X.table(s, d, "orders"))
@@ -248,13 +191,6 @@ def token_covers(s, d):
     return files(s, d).select("path").join(t, F.col("path").startswith(F.col("scope")) & F.array_contains("permissions", "read")).groupBy("id").agg(F.count("*").alias("covered"))
 
 
-@query(f"WITH {TOKENS_SQL} SELECT id, CASE WHEN id = 2 THEN 'revoked' WHEN 5000 > expires_at + 30 THEN 'expired' ELSE 'ok' END AS state FROM tk")
-def token_valid(s, d):
-    revoked = s.createDataFrame([(2, True)], "id int, revoked boolean")
-    j = _tokens(s).join(F.broadcast(revoked), "id", "left")
-    return j.select("id", F.when(F.col("revoked"), "revoked").when(F.lit(5000) > F.col("expires_at") + 30, "expired").otherwise("ok").alias("state"))
-
-
 def _redact_sql(col: str) -> str:
     for pattern, by in G.PII:
         col = f"regexp_replace({col}, '{pattern}', '{by}', 'g')"
@@ -306,19 +242,6 @@ def retention_prune(s, d):
     return ages.select(F.posexplode("ages").alias("idx", "age")).filter("age > 604800").select("idx")
 
 
-@query("SELECT count(*) AS total, count(*) FILTER (event_type = 'purchase') AS transferred, count(*) FILTER (event_type = 'view') AS skipped, count(*) FILTER (event_type = 'error') AS failed, round((count(*) - count(*) FILTER (event_type = 'error')) / count(*), 6) AS success_rate FROM events")
-def migration_stats(s, d):
-    e, kind = X.table(s, d, "events"), F.col("event_type")
-    failed = F.count_if(kind == "error")
-    return e.agg(F.count("*").alias("total"), F.count_if(kind == "purchase").alias("transferred"), F.count_if(kind == "view").alias("skipped"), failed.alias("failed"), F.round(F.when(F.count("*") == 0, 1.0).otherwise((F.count("*") - failed) / F.count("*")), 6).alias("success_rate"))
-
-
-@query(f"WITH {FILES}, {V2} SELECT path FROM v2 WHERE path NOT IN (SELECT path FROM files)")
-def migration_skip_existing(s, d):
-    f = files(s, d)
-    return X.snapshot(f, 2).join(f.select("path"), "path", "left_anti").select("path")
-
-
 @query("SELECT user_id, count(*) FILTER ((epoch_us(ts) // 1000) > 1705000000000) AS active FROM events GROUP BY 1")
 def sessions_active(s, d):
     return X.table(s, d, "events").groupBy("user_id").agg(F.count_if(F.unix_millis(F.col("ts").cast("timestamp")) > 1_705_000_000_000).alias("active"))
@@ -354,11 +277,6 @@ def iso_time_parse(s, d):
     return X.table(s, d, "events").select("event_id", F.unix_millis(F.to_timestamp(iso, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).alias("ms"))
 
 
-@query(f"WITH {EDGES} SELECT kind, count(*) AS n FROM edges WHERE kind IN ('read', 'write', 'derive', 'copy', 'transform') GROUP BY 1")
-def enum_parse(s, d):
-    return edges(s, d).filter(F.col("kind").isin(*L.KINDS)).groupBy("kind").agg(F.count("*").alias("n"))
-
-
 @query(f"WITH {FILES} SELECT path, doc_id||'.txt' AS name, [x FOR x IN string_split(path, '/') IF x <> ''][1] AS first FROM files")
 def breadcrumbs(s, d):
     crumbs = F.filter(F.split("path", "/"), lambda x: x != "")
@@ -393,7 +311,3 @@ def kv_prefix_scan(s, d):
     return files(s, d).filter(F.col("path").startswith("/src1")).select("path", "hash").orderBy("path")
 
 
-@query("SELECT date_trunc('hour', ts) IS NOT NULL AS ok, event_type, count(*) AS n FROM events GROUP BY 1, 2")
-def stream_rollup(s, d):
-    r = R.stream_rollup(X.table(s, d, "events"))
-    return r.groupBy((F.col("bucket") >= 0).alias("ok"), "event_type").agg(F.sum("n").alias("n"))

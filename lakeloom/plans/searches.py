@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lakeloom.functions import text as T
 from lakeloom.operators import ingest as I
 from lakeloom.operators import search as S
 from lakeloom.operators import textindex as P

@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import json
-import zipfile
-
-import pandas as pd
 from pyspark.sql import functions as F
 
 from lakeloom.functions import text as T
@@ -104,10 +99,10 @@ def extract_jsonl(s, d):
 
 
 # Sources and streams -------------------------------------------------------------------------------------------------
-@query()
+@query("SELECT unnest(['benchmark', 'conversations', 'customer', 'documents', 'embeddings'])||'.parquet' AS name, true AS filled")
 def source_list_limited(s, d):
-    """The first files of a folder; its path is a parameter that SQL doesn't know."""
-    return K.list_files(s, d, 5).select("name", "size")
+    """The first five tables of the folder, in the order of their names."""
+    return K.list_files(s, d, 5).select("name", (F.col("size") > 0).alias("filled"))
 
 
 @query("SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1")
@@ -119,4 +114,4 @@ def stream_upsert(s, d):
     stream = s.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(source)
     q = stream.writeStream.foreachBatch(R.upsert_into(target, "user_id", "event_id")).option("checkpointLocation", K.scratch(s, "offsets")).trigger(availableNow=True).start()
     q.awaitTermination()
-    return s.read.schema(events.schema).parquet(f"{target}/{q.lastProgress['batchId']}")
+    return R.read_upserted(s, target, events.schema)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from lakeloom.operators import store as V
-from lakeloom.plans.registry import CHUNKS, FILES, docs, files, query
+from lakeloom.plans.registry import CHUNKS, FILES, files, query
 from lakeloom.sources import connectors as K
 from lakeloom.sources import fixtures as X
 

@@ -30,15 +30,6 @@ def vectors(embeddings: DataFrame) -> DataFrame:
     return embeddings.select(F.sha2(F.col("vec_id").cast("string"), 256).alias("file_hash"), "vec_id", "embedding", "label", F.when(F.col("label") % 2 == 0, "m-v1").otherwise("m-v2").alias("model_version"), F.lit(False).alias("stale"))
 
 
-def snapshot(fs: DataFrame, version: int) -> DataFrame:
-    """path, hash of a version of the tree: 1 has all files; 2 lacks each 11th, has each 7th changed and each 13th also under
-    a new name."""
-    if version == 1:
-        return fs.select("path", "hash")
-    kept = fs.filter("doc_id % 11 <> 0").select("path", F.when(F.col("doc_id") % 7 == 0, F.sha2(F.concat("hash", F.lit("v2")), 256)).otherwise(F.col("hash")).alias("hash"))
-    return kept.union(fs.filter("doc_id % 13 = 0").select(F.concat("path", F.lit(".new")), "hash"))
-
-
 def commits(orders: DataFrame) -> DataFrame:
     """hash, parent, author, ts: each customer's orders by date as a first-parent chain."""
     from pyspark.sql import Window
