@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.llm.components import connected_components
@@ -124,19 +124,12 @@ def interval_rows(n: int, d: int, tasks: int) -> int:
 def _pairs(boxes: DataFrame, names: list[str], epsilon: float) -> DataFrame:
     """(a, b, interval, side): a row for each side of each pair of intervals that may hold a link. Tasks take intervals
     against all boxes, which they get in parts of bounded size."""
-    parts = boxes.groupBy(F.shiftright("interval", 32).alias("part")).count().orderBy("part").collect()
-    chunks: list[list[int]] = [[]]
-    held = 0
-    for r in parts:
-        if held and held + r["count"] > BROADCAST_BOXES:
-            chunks.append([])
-            held = 0
-        chunks[-1].append(r["part"])
-        held += r["count"]
+    many = boxes.agg(F.max("interval")).first()[0] + 1
+    chunks = [(k, k + BROADCAST_BOXES) for k in range(0, many, BROADCAST_BOXES)]
     sides = [f"{f}_{c}" for f in ("min", "max") for c in names]
 
-    def against(chunk: list[int]) -> DataFrame:
-        other = boxes.filter(F.shiftright("interval", 32).between(chunk[0], chunk[-1])).orderBy("interval").toPandas()
+    def against(chunk: tuple[int, int]) -> DataFrame:
+        other = boxes.filter((F.col("interval") >= chunk[0]) & (F.col("interval") < chunk[1])).orderBy("interval").toPandas()
         shared = boxes.sparkSession.sparkContext.broadcast((other["interval"].to_numpy(), other[sides[: len(names)]].to_numpy(), other[sides[len(names) :]].to_numpy()))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,12 +174,16 @@ def _of_dimension(heads: DataFrame, n: int, d: int, cosine: float) -> DataFrame:
 
         part, seen = TaskContext.get().partitionId(), 0
         for batch in batches:
-            interval = (part << 32) + (seen + np.arange(batch.num_rows)) // rows
+            nth = seen + np.arange(batch.num_rows)
             seen += batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(interval), *(batch.column(c) for c in ["id", "m", "x", *names])], names=["interval", "id", "m", "x", *names])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nth), part)), pa.array(nth), *(batch.column(c) for c in ["id", "m", "x", *names])], names=["part", "nth", "id", "m", "x", *names])
 
     ordered = materialize(projected, "projected").repartitionByRange(*cells, "id").sortWithinPartitions(*cells, "id").drop(*cells)
-    ordered = materialize(ordered.mapInArrow(number, "interval long, id long, m long, x binary, " + ", ".join(f"{c} double" for c in names)), "grid order")
+    ordered = materialize(ordered.mapInArrow(number, "part long, nth long, id long, m long, x binary, " + ", ".join(f"{c} double" for c in names)), "grid order")
+    before = ordered.groupBy("part").agg(F.count("*").alias("held"))  # a row for each partition
+    before = before.select("part", (F.sum("held").over(Window.orderBy("part")) - F.col("held")).alias("before"))
+    interval = F.floor((F.col("before") + F.col("nth")) / rows)
+    ordered = ordered.join(F.broadcast(before), "part").select(interval.alias("interval"), "id", "m", "x", *names)
     boxes = materialize(ordered.groupBy("interval").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in names]), "boxes")
     sides = materialize(_pairs(boxes, names, epsilon), "interval pairs")
     sent = ordered.join(F.broadcast(sides) if sides.count() <= BROADCAST_PAIRS else sides, "interval")
