@@ -43,11 +43,20 @@ def _marks() -> str:
     return "".join(found)
 
 
-_WORD = re.compile(rf"[^\W\d_](?:[^\W\d_]|[{_marks()}])*")
+_PLAIN = re.compile(r"[^\W\d_]+")
+_MARK = re.compile(f"[{_marks()}]")
+_WORD = re.compile(rf"[^\W\d_](?:[^\W\d_]|{_MARK.pattern})*")
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Runs of letters and the marks on them, in lower case."""
+    low = text.lower()
+    try:
+        low.encode("latin-1")  # Latin-1 has no marks
+        marks = False
+    except UnicodeEncodeError:
+        marks = _MARK.search(low) is not None
+    return (_WORD if marks else _PLAIN).findall(low)
 
 
 def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
