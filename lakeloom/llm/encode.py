@@ -16,6 +16,9 @@ from lakeloom.llm.runtime import worker_state
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
+#: Places in which a piece that was met leaves a mark.
+MET = 1 << 23
+
 #: Pieces, and words of them, that a worker of a PieceEncoder keeps at most.
 REMEMBERED = 600_000
 
@@ -83,20 +86,21 @@ class MergeEncoder:
 
 
 class _Pieces(dict):
-    """Ids by piece, found when first asked for. Pieces that were asked for since half of those remembered were new are
-    kept; others go."""
+    """Ids by piece, found when asked for, and remembered from the second time on: most pieces that a text has for the first
+    time are not met again. Beyond so many the memory starts anew."""
 
     def __init__(self, find, remembered: int):
-        self.find, self.half, self.older = find, remembered // 2, {}
+        self.find, self.remembered, self.met = find, remembered, bytearray(MET)
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.half:
-            self.older = dict(self)
-            self.clear()
-        ids = self.older.get(piece)
-        if ids is None:
-            ids = self.find(piece)
-        self[piece] = ids
+        ids, place = self.find(piece), hash(piece) % MET
+        if self.met[place]:
+            if len(self) >= self.remembered:
+                self.clear()
+                self.met = bytearray(MET)
+            self[piece] = ids
+        else:
+            self.met[place] = 1
         return ids
 
 
