@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.runtime import materialize, record, small_batches, texts
+from lakeloom.llm.runtime import materialize, record, small_batches, texts, tidy
 
 #: A chunk ends where the hash is below this: one place in 32.
 CUT_BELOW = (1 << 16) // 32
@@ -180,7 +180,7 @@ def _packed(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield record(PACKED, doc_id=batch.column("doc_id"), packed=[pack(t.encode()) for t in texts(batch)])
 
-    return docs.mapInArrow(run, "doc_id long, packed binary")
+    return docs.mapInArrow(tidy(run), "doc_id long, packed binary")
 
 
 def repeated_pieces(docs: DataFrame, least: int) -> DataFrame:
@@ -206,10 +206,10 @@ def repeated_pieces(docs: DataFrame, least: int) -> DataFrame:
             yield record(PIECES, **dict(zip(PIECES.names, zip(*rows, strict=True) if rows else [()] * len(PIECES), strict=True)))
 
     docs = docs.select("doc_id", "text").filter("doc_id is not null")
-    found = docs.mapInArrow(run, "digest long, doc_id long")
+    found = docs.mapInArrow(tidy(run), "digest long, doc_id long")
     firsts = found.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
     wanted = firsts.groupBy(F.col("first").alias("doc_id")).agg(F.collect_list("digest").alias("wanted"))
-    sent = _packed(docs).join(wanted, "doc_id").select("doc_id", "packed", "wanted").mapInArrow(send, "piece long, first long, copy long, start long, data binary, places array<int>, digests array<long>")
+    sent = _packed(docs).join(wanted, "doc_id").select("doc_id", "packed", "wanted").mapInArrow(tidy(send), "piece long, first long, copy long, start long, data binary, places array<int>, digests array<long>")
     sent = materialize(sent, "pieces")
     keys = sent.select(F.explode("digests").alias("digest"), "first", "piece")
     later = found.join(keys, "digest").filter("doc_id > first").select("doc_id", "piece").distinct()
@@ -253,5 +253,5 @@ def remove_repeats(docs: DataFrame, least: int = LEAST_RUN, only_changed: bool =
             yield pa.RecordBatch.from_arrays(columns, names=[*schema.names, "_n_removed", "_spans", "_first_ids"])
 
     out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", _n_removed long, _spans array<struct<start:long,length:long>>, _first_ids array<long>"
-    out = joined.mapInArrow(run, out_schema)
+    out = joined.mapInArrow(tidy(run), out_schema)
     return out.filter("_n_removed > 0") if only_changed else out

@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.runtime import materialize, record, small_batches, texts
+from lakeloom.llm.runtime import materialize, record, small_batches, texts, tidy
 
 ROWS = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 DEALT = pa.schema([("bucket", pa.int32()), ("tail", pa.int32()), ("k", pa.int64()), ("doc_id", pa.int64()), ("packed", pa.binary())])
@@ -89,7 +89,7 @@ def _deal(docs: DataFrame) -> DataFrame | None:
                     rows.append((before[k], 1, k, i, packed))
             yield record(DEALT, **dict(zip(DEALT.names, zip(*rows, strict=True) if rows else [()] * 5, strict=True)))
 
-    return docs.select("doc_id", "text").mapInArrow(deal, "bucket int, tail int, k long, doc_id long, packed binary").repartition("bucket").sortWithinPartitions("bucket", "tail", "k", "packed")
+    return docs.select("doc_id", "text").mapInArrow(tidy(deal), "bucket int, tail int, k long, doc_id long, packed binary").repartition("bucket").sortWithinPartitions("bucket", "tail", "k", "packed")
 
 
 def _fingerprints(dealt: DataFrame, digest: Callable[[bytes], str]) -> DataFrame:
@@ -111,7 +111,7 @@ def _fingerprints(dealt: DataFrame, digest: Callable[[bytes], str]) -> DataFrame
                 yield record(ROWS, **dict(zip(ROWS.names, zip(*out, strict=True), strict=True)))
                 out = []
 
-    return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.mapInArrow(tidy(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def _collide(docs: DataFrame, found: DataFrame, digest: Callable[[bytes], str]) -> bool:
@@ -140,7 +140,7 @@ def _collide(docs: DataFrame, found: DataFrame, digest: Callable[[bytes], str])
             if rows:
                 yield record(SHARED, **dict(zip(SHARED.names, zip(*rows, strict=True), strict=True)))
 
-    different = docs.select("text").mapInArrow(run, "fingerprint string, packed binary").distinct().groupBy("fingerprint").count().filter("count > 1")
+    different = docs.select("text").mapInArrow(tidy(run), "fingerprint string, packed binary").distinct().groupBy("fingerprint").count().filter("count > 1")
     return not different.isEmpty()
 
 

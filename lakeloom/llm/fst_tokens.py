@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from tokenizers.pre_tokenizers import ByteLevel
 
 from lakeloom.llm.encode import byte_letters
-from lakeloom.llm.runtime import record, small_batches, texts, worker_state
+from lakeloom.llm.runtime import record, small_batches, texts, tidy, worker_state
 
 ROWS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
@@ -398,4 +398,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024) -> DataFra
             n = np.concatenate(counted) if counted else np.zeros(0, np.int64)
             yield record(ROWS, doc_id=batch.column("doc_id"), n_bytes=[len(t.encode()) for t in rows], n_tokens=n, over_limit=n > limit)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.runtime import record, small_batches, texts
+from lakeloom.llm.runtime import record, small_batches, texts, tidy
 
 ROWS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 #: Pages, least by a hash of page_id and url, from which the trees are learnt; the longest such page; and how many times
@@ -411,4 +411,4 @@ def extract_main_text(pages: DataFrame, model: Boosted | None = None) -> DataFra
                 found += extract(rows[k : k + 64], shared.value)
             yield record(ROWS, page_id=batch.column("page_id"), url=batch.column("url"), text=found, n_chars=[len(t) for t in found])
 
-    return pages.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")

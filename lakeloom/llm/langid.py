@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.runtime import record, small_batches, texts, worker_state
+from lakeloom.llm.runtime import record, small_batches, texts, tidy, worker_state
 
 #: Documents of each language, about, from which the model is learnt, chosen by a hash of doc_id.
 LEARN_DOCS = 4000
@@ -24,7 +24,7 @@ SMOOTH = 0.5
 #: Rounds of expectation-maximisation for all languages, and for each smaller set of them.
 ROUNDS, SET_ROUNDS = 6, 4
 #: Likelihoods, one for a word and language, that a worker keeps, and those that are worked on together.
-KEPT_CELLS, BATCH_CELLS = 2_000_000, 1 << 20
+KEPT_CELLS, BATCH_CELLS = 1_200_000, 1 << 20
 
 COUNTS = pa.schema([("lang", pa.string()), ("gram", pa.int32()), ("n", pa.int64())])
 ROWS = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("languages", pa.list_(pa.string()))])
@@ -104,7 +104,7 @@ def learn(labelled: DataFrame) -> Model:
             at = np.flatnonzero(n)
             yield record(COUNTS, lang=[lang] * len(at), gram=at, n=n[at])
 
-    found = chosen.mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    found = chosen.mapInArrow(tidy(run), "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(many)
     table = np.full((PLACES, len(languages)), SMOOTH)
     table[found["gram"].to_numpy(), found["lang"].map({k: i for i, k in enumerate(languages)}).to_numpy()] += found["n"].to_numpy()
@@ -229,8 +229,8 @@ def predict(docs: DataFrame, model: Model, whole_rows: bool = False) -> DataFram
                 yield record(ROWS, doc_id=batch.column("doc_id"), lang_pred=lang, score=score, languages=several)
 
     if whole_rows:
-        return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _lang_pred string")
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, languages array<string>")
+        return docs.mapInArrow(tidy(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _lang_pred string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, lang_pred string, score double, languages array<string>")
 
 
 def identify(docs: DataFrame, whole_rows: bool = False) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.llm.components import connected_components
-from lakeloom.llm.runtime import discard, materialize, record, small_batches, texts, worker_state
+from lakeloom.llm.runtime import discard, materialize, record, small_batches, texts, tidy, worker_state
 
 SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 SETS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
@@ -99,7 +99,7 @@ def _sign(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
             d1, d2 = (np.array([d[i] for d in digests], np.uint64).view(np.int64) for i in (0, 1))
             yield record(SIGNED, doc_id=batch.column("doc_id"), n_shingles=[len(s) for s in sets], d1=d1, d2=d2, bands=[next(made) if len(s) else None for s in sets])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -123,7 +123,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             sets = [shingle_set(t, k) for t in texts(batch)]
             yield record(SETS, id=batch.column("doc_id"), n=[len(s) for s in sets], shingles=[s.tobytes() for s in sets])
 
-    return docs.filter("doc_id is not null").withColumn("place", place).mapInArrow(run, "id long, n long, shingles binary").filter("n > 0")
+    return docs.filter("doc_id is not null").withColumn("place", place).mapInArrow(tidy(run), "id long, n long, shingles binary").filter("n > 0")
 
 
 def _against_centre(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -151,7 +151,7 @@ def _against_centre(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFram
 
     x = sets.select("id", "n", F.col("shingles").alias("sx"))
     c = sets.select(F.col("id").alias("c"), F.col("n").alias("nc"), F.col("shingles").alias("sc"))
-    return pairs.join(x, "id").join(c, "c").mapInArrow(run, "c long, id long, n long, nc long, linked boolean, missing array<long>, extra array<long>")
+    return pairs.join(x, "id").join(c, "c").mapInArrow(tidy(run), "c long, id long, n long, nc long, linked boolean, missing array<long>, extra array<long>")
 
 
 def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.llm.encode import encoder
-from lakeloom.llm.runtime import materialize, record, small_batches, texts
+from lakeloom.llm.runtime import materialize, record, small_batches, texts, tidy
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int64()), ("nth", pa.int64())])
 #: Whole sequences of one piece are numbered from here, by task and place in it.
@@ -145,7 +145,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, capacity: int
                     seen[n] += 1
             yield record(PIECES, **dict(zip(PIECES.names, zip(*rows, strict=True) if rows else [()] * len(PIECES.names), strict=True)))
 
-    pieces = materialize(docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, piece int, start long, length long, ids_crc32 long, part long, nth long"), "pieces")
+    pieces = materialize(docs.select("doc_id", "text").mapInArrow(tidy(encode), "doc_id long, piece int, start long, length long, ids_crc32 long, part long, nth long"), "pieces")
     counts = pieces.filter(F.col("length") < capacity).groupBy("length", "part").agg(F.count("*").alias("n"))
     counts = materialize(counts, "piece counts")
     by_length = places(plan({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity))
@@ -164,4 +164,4 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, capacity: int
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     whole = pieces.filter(F.col("length") == capacity).select("doc_id", "piece", "start", "length", "ids_crc32", (F.lit(WHOLE_FROM) + F.shiftleft("part", 33) + F.col("nth")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return ranked.mapInArrow(place, schema).union(whole)
+    return ranked.mapInArrow(tidy(place), schema).union(whole)

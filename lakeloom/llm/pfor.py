@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.llm.encode import encoder
-from lakeloom.llm.runtime import materialize, record, scratch_path, small_batches, texts
+from lakeloom.llm.runtime import materialize, record, scratch_path, small_batches, texts, tidy
 
 BLOCK = 128
 #: The share of a block's values that must fit the packed width; the rest become exceptions.
@@ -181,7 +181,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
 
     ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("_h")).repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h")
     folder = folder or scratch_path(spark, "token files")
-    images = ordered.select("doc_id", "text").mapInArrow(encode, "image binary")
+    images = ordered.select("doc_id", "text").mapInArrow(tidy(encode), "image binary")
     images.select(F.col("image").cast("string")).write.option("maxRecordsPerFile", 1).text(folder)
     return folder
 
@@ -200,7 +200,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                 yield record(ROWS, doc_id=keys, part=np.full(len(keys), part), at=start + starts, n_tokens=lengths, ids_crc32=[zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).filter("length > 0").select("content")
-    rows = materialize(files.mapInArrow(decode, "doc_id long, part long, at long, n_tokens long, ids_crc32 long"), "token rows")
+    rows = materialize(files.mapInArrow(tidy(decode), "doc_id long, part long, at long, n_tokens long, ids_crc32 long"), "token rows")
     parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = parts.selectExpr("part", "sum(n) over (order by part) - n as base")
     return rows.join(F.broadcast(before), "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

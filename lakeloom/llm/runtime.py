@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterator
 from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in an Arrow batch: few, because a row may hold a very long text.
-BATCH_ROWS = 1024
+BATCH_ROWS = 512
 
 #: The words of the contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -85,6 +86,32 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.mallopt(-3, 1 << 17)  # M_MMAP_THRESHOLD: larger blocks go back to the system when they are freed
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers live on from task to task, beside the other processes of an executor."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f, a function on batches, with release() at the end of each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return run
+
+
 T = TypeVar("T")
 _HELD: dict = {}
 
@@ -94,6 +121,7 @@ def worker_state(key: Hashable, make: Callable[[], T]) -> T:
     workers live on from one stage of a pipeline to the next: another key's takes its place."""
     if key not in _HELD:
         _HELD.clear()
+        release()
         _HELD[key] = make()
     return _HELD[key]
 
