@@ -28,7 +28,7 @@ PERCENTILE = 90
 #: Ids in a file: it closes with the document that reaches this.
 IMAGE_IDS = 1 << 22
 #: Blocks that are packed or unpacked at once.
-RUN_BLOCKS = 4096
+RUN_BLOCKS = 512
 MAGIC = b"LPF2"
 #: Mark, documents, ids, blocks, part, and ids of the part before the file. Parts follow one another by number.
 _HEADER = struct.Struct("<4sIQIIQ")
@@ -73,7 +73,8 @@ def _pack(ids: np.ndarray) -> tuple[np.ndarray, bytes]:
     for w in np.unique(width):
         rows = np.flatnonzero(width == w)
         if w:
-            bits = ((rest[rows][:, :, None] >> np.arange(w, dtype=np.uint32)) & 1).astype(np.uint8)
+            held = rest[rows].astype("<u2" if w <= 16 else "<u4")
+            bits = np.unpackbits(held.view(np.uint8).reshape(len(rows), BLOCK, -1), axis=2, bitorder="little")[:, :, :w]
             packed = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
             payload[starts[rows][:, None] + np.arange(packed.shape[1])] = packed
     row, place = np.nonzero(out)
@@ -179,7 +180,10 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
         if keys:
             yield image()
 
-    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("_h")).repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_h"))
+    most = docs.groupBy("doc_id").count().agg(F.max("count")).first()[0] or 0
+    # ids that don't repeat part the rows alone, so that the texts need not be read for the bounds of the ranges
+    ordered = rows.repartitionByRange(*(["doc_id", "_h"] if most > 1 else ["doc_id"])).sortWithinPartitions("doc_id", "_h")
     folder = folder or scratch_path(spark, "token files")
     images = ordered.select("doc_id", "text").mapInArrow(tidy(encode), "image binary")
     images.select(F.col("image").cast("string")).write.option("maxRecordsPerFile", 1).text(folder)
