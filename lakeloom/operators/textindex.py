@@ -17,6 +17,8 @@ from lakeloom.operators.search import B, K1, tokens
 from lakeloom.sources.connectors import scratch
 
 BUCKETS = 64
+#: Tasks among which the postings of a bucket are dealt when they are written.
+SPREAD = 8
 _TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -42,7 +44,8 @@ def _postings(docs: DataFrame, lowercase: bool) -> tuple[DataFrame, DataFrame]:
 def _write(spark: SparkSession, postings: DataFrame, documents: DataFrame) -> Index:
     folder = scratch(spark, "text-index")
     p = postings.select("term", "doc_id", "tf", "positions", "len", bucket(F.col("term")).alias("bucket"))
-    p.repartitionByRange("bucket", "term", "doc_id").sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").parquet(f"{folder}/postings")
+    # a bucket is dealt to a few tasks, so that one frequent word isn't all one task's
+    p.repartition("bucket", F.pmod("doc_id", F.lit(SPREAD))).sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").parquet(f"{folder}/postings")
     documents.write.parquet(f"{folder}/documents")
     stored = spark.read.schema(documents.schema).parquet(f"{folder}/documents")
     stored.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl")).write.parquet(f"{folder}/stats")
@@ -51,8 +54,12 @@ def _write(spark: SparkSession, postings: DataFrame, documents: DataFrame) -> In
 
 
 def build(docs: DataFrame, lowercase: bool = False) -> Index:
-    """The index of docs (doc_id, path, hash, text). One shuffle of the words, one of the postings."""
-    return _write(docs.sparkSession, *_postings(docs.select("doc_id", "path", "hash", "text"), lowercase))
+    """The index of docs (doc_id, path, hash, text). One shuffle of the words, one of the postings; a table of fewer splits than
+    there are cores, so a small one, is dealt to all of them first."""
+    docs = docs.select("doc_id", "path", "hash", "text")
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    docs = docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+    return _write(docs.sparkSession, *_postings(docs, lowercase))
 
 
 def delete(index: Index, ids: DataFrame) -> Index:
