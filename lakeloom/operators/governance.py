@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What is redacted, in this order, and by what.
@@ -96,17 +96,17 @@ def glob_regex(pattern: str) -> str:
 Rule = tuple[str, list[str], list[str], str]
 
 
-def load_policy(path: str) -> list[Rule]:
-    """Rules (pattern, principals, permissions, effect) of a YAML file, in order. A file or a list of rules that is too large
-    is an error, and so is a rule that lacks a field."""
-    import os
+def parse_policy(content: bytes) -> list[Rule]:
+    """Rules (pattern, principals, permissions, effect) of a YAML file's bytes, in order. A file or a list of rules that is too
+    large is an error, and so is a rule that lacks a field."""
+    try:
+        from yaml import safe_load as load
+    except ImportError:  # JSON is YAML too, and all that can be read then
+        from json import loads as load
 
-    import yaml
-
-    if os.path.getsize(path) > POLICY_BYTES:
-        raise ValueError(f"policy file too large: over {POLICY_BYTES} bytes")
-    with open(path, encoding="utf-8") as f:
-        rules = (yaml.safe_load(f) or {}).get("rules") or []
+    if len(content) > POLICY_BYTES:
+        raise ValueError(f"policy file too large: {len(content)} bytes (limit {POLICY_BYTES})")
+    rules = (load(content.decode()) or {}).get("rules") or []
     if len(rules) > POLICY_RULES:
         raise ValueError(f"too many rules: {len(rules)} (limit {POLICY_RULES})")
     out = []
@@ -117,6 +117,14 @@ def load_policy(path: str) -> list[Rule]:
     return out
 
 
+def load_policy(spark: SparkSession, path: str) -> list[Rule]:
+    """The rules of a policy file, wherever Spark can read it."""
+    found = spark.read.format("binaryFile").load(path).filter("length > 0")
+    if found.filter(F.col("length") > POLICY_BYTES).count():
+        raise ValueError(f"policy file too large (limit {POLICY_BYTES})")
+    return [r for row in found.orderBy("path").collect() for r in parse_policy(bytes(row["content"]))]
+
+
 def evaluate(requests: DataFrame, rules: list[Rule]) -> DataFrame:
     """requests (path, principal, permission) with effect and, where it is deny, reason: those of the first rule that matches,
     else deny. Rules are few and ordered; as one expression they need no join."""

@@ -58,14 +58,10 @@ def policy_lineage_constraint(s, d):
 @query(f"WITH {_policy(ALICE, READ)} SELECT path, effect FROM ev")
 def policy_file(s, d):
     """Requests under rules that were read from a file."""
-    import os
-    import tempfile
-
-    with tempfile.TemporaryDirectory() as folder:  # the driver writes and reads it; no executor does
-        path = os.path.join(folder, "policy.yaml")
-        with open(path, "w", encoding="utf-8") as f:
-            json.dump({"version": "1", "rules": [dict(zip(("path_pattern", "principals", "permissions", "effect"), r, strict=True)) for r in RULES]}, f)
-        rules = G.load_policy(path)
+    said = {"version": "1", "rules": [dict(zip(("path_pattern", "principals", "permissions", "effect"), r, strict=True)) for r in RULES]}
+    path = K.scratch(s, "policy")
+    s.createDataFrame([(json.dumps(said),)], "value string").coalesce(1).write.text(path)
+    rules = G.load_policy(s, path)
     return G.evaluate(_requests(s, d, ["alice"], ["read"]), rules).select("path", "effect")
 
 

@@ -53,19 +53,19 @@ def test_permissions_and_lineage(spark):
     assert got["/vault/a/k8.pem"][0] == "deny" and "path=/z" in got["/vault/a/k8.pem"][1]
 
 
-def test_policy_files(tmp_path):
+def test_policy_files(spark, tmp_path):
     path = tmp_path / "p.yaml"
     path.write_text("version: '1'\nrules:\n- path_pattern: /a/**\n  principals: ['*']\n  permissions: [read]\n  effect: allow\n")
-    assert G.load_policy(str(path)) == [("/a/**", ["*"], ["read"], "allow")]
+    assert G.load_policy(spark, str(path)) == [("/a/**", ["*"], ["read"], "allow")]
     path.write_text("rules:\n- path_pattern: /a\n  principals: ['*']\n  permissions: [fly]\n  effect: allow\n")
     with pytest.raises(ValueError):
-        G.load_policy(str(path))
+        G.load_policy(spark, str(path))
     path.write_text("#" * (G.POLICY_BYTES + 1))
     with pytest.raises(ValueError, match="too large"):
-        G.load_policy(str(path))
+        G.load_policy(spark, str(path))
     path.write_text(json.dumps({"rules": [dict(path_pattern="/a", principals=["*"], permissions=["read"], effect="deny")] * (G.POLICY_RULES + 1)}))
     with pytest.raises(ValueError, match="too"):
-        G.load_policy(str(path))
+        G.load_policy(spark, str(path))
 
 
 @pytest.mark.parametrize("pattern, path, hit", [("ab*ba", "/aba", True), ("/x/ab*ba", "/x/ab/ba", False), ("/a*b*", "/axb*", True), ("/a*b*", "/axbc", False), ("/**/z", "/z", True), ("*", "/a/b", True), ("/a/*", "/a/b", True), ("/a/*", "/a/b/c", False), ("/a/**", "/a", True), ("/a/**/z", "/a/b/c/z", True), ("/a/x*y", "/a/xy", True), ("/a/x*y", "/a/xzy", True), ("/a.b", "/axb", False)])
