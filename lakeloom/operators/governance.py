@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import datetime
+import decimal
+import itertools
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -213,37 +217,93 @@ def mixed(hash_: Column, n: int) -> Column:
     return out
 
 
-def round_robin(hash_: Column, chains: Column) -> Column:
-    """Place (from 0) of a hash's chain: its number modulo the number of chains."""
-    return F.try_mod(mixed(hash_, 8), F.size(chains).cast("decimal(38,0)")).cast("int")
+def _passed(bounds: Column, x: Column) -> Column:
+    """How many of an array's rising bounds are at most x, by halving. x is kept beside the ends, so that it is made once."""
+    start = F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi"), x.alias("x"))
 
+    def halved(a: Column, _: Column) -> Column:
+        mid = F.shiftright(a["lo"] + a["hi"], 1)
+        open_, under = a["lo"] < a["hi"], F.get(bounds, mid) <= a["x"]
+        return F.struct(F.when(open_ & under, mid + 1).otherwise(a["lo"]).alias("lo"), F.when(open_ & ~under, mid).otherwise(a["hi"]).alias("hi"), a["x"].alias("x"))
 
-def capacity_aware(hash_: Column, chains: Column) -> Column:
-    """Place (from 0) of a hash's chain: where its number, modulo all free bytes, falls in their running sum; as round_robin()
-    if none has any."""
-    free = F.transform(chains, lambda c: c["free"].cast("decimal(38,0)"))
-    total = F.aggregate(free, F.lit(0).cast("decimal(38,0)"), lambda a, x: (a + x).cast("decimal(38,0)"))
-    target = F.try_mod(mixed(hash_, 16), total)
-    start = F.struct(F.lit(0).cast("decimal(38,0)").alias("acc"), F.lit(0).alias("n"))
-    passed = F.aggregate(free, start, lambda a, x: F.struct((a["acc"] + x).cast("decimal(38,0)").alias("acc"), F.when(target >= a["acc"] + x, a["n"] + 1).otherwise(a["n"]).alias("n")))
-    return F.when(total == 0, round_robin(hash_, chains)).otherwise(F.least(passed["n"], F.size(chains) - 1))
+    return F.aggregate(F.array_repeat(F.lit(0), F.length(F.bin(F.size(bounds)))), start, halved)["lo"]
+
+
+def round_robin(objects: DataFrame, chains: DataFrame) -> DataFrame:
+    """objects with place (from 0) of each one's chain: its hash's number modulo the number of chains."""
+    count = chains.agg(F.count("*").cast("decimal(38,0)").alias("_n"))
+    place = F.try_mod(mixed(F.col("hash"), 8), F.col("_n")).cast("int")
+    return objects.crossJoin(F.broadcast(count)).withColumn("place", place).drop("_n")
+
+
+#: Chains whose bounds are searched as one array; a row meets one such array, and one of all arrays' last bounds.
+CHAIN_BLOCK = 256
+
+
+def capacity_aware(objects: DataFrame, chains: DataFrame) -> DataFrame:
+    """objects with place (from 0) of each one's chain: where its hash's number, modulo all free bytes, falls in their running
+    sum; as round_robin() if none has any."""
+    blocks = chains.groupBy(F.floor(F.col("place") / CHAIN_BLOCK).cast("int").alias("_block")).agg(F.array_sort(F.collect_list("upto")).alias("_bounds"), F.count("*").alias("_n"))
+    ends = blocks.agg(F.array_sort(F.collect_list(F.element_at("_bounds", -1))).alias("_ends"), F.sum("_n").cast("decimal(38,0)").alias("_n"))
+    o = objects.crossJoin(F.broadcast(ends.withColumn("_total", F.array_max("_ends"))))
+    o = o.withColumn("_target", F.try_mod(mixed(F.col("hash"), 16), F.col("_total")))
+    o = o.withColumn("_block", F.when(F.col("_target").isNotNull(), _passed(F.col("_ends"), F.col("_target"))))
+    o = o.withColumn("_turn", F.when(F.col("_total") == 0, F.try_mod(mixed(F.col("hash"), 8), F.col("_n")).cast("int"))).drop("_ends", "_n", "_total")
+    o = o.join(F.broadcast(blocks.drop("_n")), "_block", "left")
+    place = F.col("_block") * CHAIN_BLOCK + _passed(F.col("_bounds"), F.col("_target"))
+    return o.withColumn("place", F.coalesce("_turn", place)).drop("_block", "_bounds", "_target", "_turn")
+
+
+def _walks(racks: list | None, count: int, n: int) -> Iterator[list[int]]:
+    """For each place, from the last to the first: n places from it on, in a circle; with racks, first the next place of each
+    rack, then the others."""
+    for p in range(count - 1, -1, -1):
+        if racks is None:
+            yield [(p + k) % count for k in range(min(n, count))]
+        else:
+            turned = [*range(p, count), *range(p)]
+            near = list({racks[x]: x for x in reversed(turned)}.values())
+            yield [*sorted(near, key=lambda x: (x - p) % count), *(x for x in turned if x not in near)][:n]
+
+
+def listed(chains: DataFrame, n: int, rack_aware: bool) -> DataFrame:
+    """place (from 0, in order of id), upto (free bytes to its end), replicas (ids of n chains) of each chain (id, free, rack).
+    One task lists them; there are far fewer of them than objects."""
+    field = chains.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = list(batches)
+        if not read:
+            return
+        c = pa.Table.from_batches(read).combine_chunks()
+        count, ids = len(c), c.column("id").combine_chunks()
+        upto = list(itertools.accumulate(int(x) for x in c.column("free").to_pylist()))
+        walks = _walks(c.column("rack").to_pylist() if rack_aware else None, count, n)
+        places = iter(range(count - 1, -1, -1))
+        while part := list(itertools.islice(places, LISTED)):
+            found = list(itertools.islice(walks, len(part)))
+            offsets = pa.array([0, *itertools.accumulate(map(len, found))], pa.int32())
+            chosen = pa.ListArray.from_arrays(offsets, ids.take(pa.array([x for f in found for x in f], pa.int64())))
+            bounds = pa.array([decimal.Decimal(upto[p]) for p in part], pa.decimal128(38, 0))
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), bounds, chosen], names=["place", "upto", "replicas"])
+
+    free = F.coalesce(F.col("free").cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
+    ordered = chains.select("id", free.alias("free"), "rack").repartition(1).sortWithinPartitions("id", "free", "rack")
+    return ordered.mapInArrow(run, f"place int, upto decimal(38,0), replicas array<{field}>")
+
+
+#: Chains whose replicas are listed in one batch.
+LISTED = 1 << 14
 
 
 def replicas(objects: DataFrame, chains: DataFrame, n: int, primary=capacity_aware, rack_aware: bool = True) -> DataFrame:
-    """objects (hash, ...) with replicas: ids of n chains (id, free, rack; few, in order of id), the primary first, then those after
-    it; rack-aware, first one of each rack that isn't used yet, then the others. primary is any function of a hash and the
-    chains that gives a place."""
-    listed = chains.agg(F.array_sort(F.collect_list(F.struct("id", "free", "rack"))).alias("chains"))
-    o = objects.crossJoin(F.broadcast(listed)).withColumn("p", primary(F.col("hash"), F.col("chains")))
-    turned = F.concat(F.slice("chains", F.col("p") + 1, F.size("chains")), F.slice("chains", F.lit(1), F.col("p")))
-    o = o.withColumn("turned", F.when(F.size("chains") == 0, F.col("chains")).otherwise(turned))
-    if rack_aware:
-        racks = F.transform("turned", lambda c: c["rack"])
-        o = o.withColumn("racks", racks)
-        new = F.filter("turned", lambda c, i: F.array_position(F.col("racks"), c["rack"]) == i + 1)
-        rest = F.filter("turned", lambda c, i: F.array_position(F.col("racks"), c["rack"]) != i + 1)
-        o = o.withColumn("turned", F.concat(new, rest)).drop("racks")
-    return o.withColumn("replicas", F.transform(F.slice("turned", 1, n), lambda c: c["id"])).drop("chains", "p", "turned")
+    """objects (hash, ...) with replicas: ids of n chains (id, free, rack; in order of id), the primary first, then those after
+    it; rack-aware, first one of each rack that isn't used yet, then the others. Which chains these are depends on the primary
+    alone, so they are listed once a chain. primary is any function of objects and listed() chains that adds a place."""
+    walks = listed(chains, n, rack_aware)
+    o = primary(objects, walks).join(F.broadcast(walks.select("place", "replicas")), "place", "left")
+    none = F.when(F.col("hash").isNotNull(), F.array().cast(walks.schema["replicas"].dataType))
+    return o.select(*objects.columns, F.coalesce("replicas", none).alias("replicas"))
 
 
 def bytes_fraction(used: Column, most: Column) -> Column:

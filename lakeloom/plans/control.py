@@ -219,9 +219,9 @@ def _chains(s, d):
 def placement_capacity(s, d):
     """Each file's chain by free capacity, and by turn."""
     o = files(s, d).select("path", "hash")
-    a = G.replicas(o, _chains(s, d), 1, rack_aware=False).select("path", F.col("replicas")[0].alias("by_capacity"))
-    b = G.replicas(o, _chains(s, d), 1, primary=G.round_robin, rack_aware=False).select("path", F.col("replicas")[0].alias("by_turn"))
-    return a.join(b, "path")
+    a = G.replicas(o, _chains(s, d), 1, rack_aware=False).select("path", "hash", F.get("replicas", F.lit(0)).alias("by_capacity"))
+    b = G.replicas(a, _chains(s, d), 1, primary=G.round_robin, rack_aware=False).withColumn("by_turn", F.get("replicas", F.lit(0)))
+    return b.filter("by_turn is not null").groupBy("path", "by_turn").agg(F.min("by_capacity").alias("by_capacity")).select("path", "by_capacity", "by_turn")
 
 
 @query(f"WITH {_PRIMARY}, t AS (SELECT path, id, rack, (i - ca + n) % n AS k FROM pc, ch), f AS (SELECT *, row_number() OVER (PARTITION BY path, rack ORDER BY k) AS nth FROM t), r AS (SELECT path, id, row_number() OVER (PARTITION BY path ORDER BY CAST(nth > 1 AS INT), k) AS place FROM f) SELECT path, string_agg(id, ',' ORDER BY place) AS replicas FROM r WHERE place <= 5 GROUP BY 1")

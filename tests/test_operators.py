@@ -1,13 +1,21 @@
 """Operators on small inputs."""
 
+import bisect
 import datetime
+import decimal
+import functools
+import hashlib
 import io
+import itertools
 import json
+import time
 import zipfile
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import oracle
 from lakeloom import api
 from lakeloom.functions import text as T
 from lakeloom.operators import audit as A
@@ -18,6 +26,7 @@ from lakeloom.operators import lineage as L
 from lakeloom.operators import search as S
 from lakeloom.operators import store as V
 from lakeloom.operators import textindex as P
+from lakeloom.plans import registry
 from lakeloom.sources import backends as B
 from lakeloom.sources import connectors as K
 from lakeloom.streaming import rollups as R
@@ -237,6 +246,41 @@ def test_placement_and_quota(spark):
     assert [r[0] for r in q.select(G.quota_decision(F.col("after"), F.col("used"), F.lit(1000), F.col("known"))).collect()] == ["allow", "throttle", "deny", "deny"]
 
 
+def _mixed(h, n):
+    return functools.reduce(lambda a, b: a * 131 + b, bytes.fromhex(h)[:n], 0)
+
+
+def test_placement_among_many_chains(spark):
+    start = time.monotonic()
+    free = [0 if k % 3 == 0 else (1 << 64) - 1 if k % 1000 == 1 else k * 7919 % 100_003 for k in range(4001)]
+    c = spark.createDataFrame([(k, decimal.Decimal(f)) for k, f in enumerate(free)], "id int, free decimal(38,0)").withColumn("rack", F.col("id") % 7).repartition(5)
+    hashes = [hashlib.sha256(str(k).encode()).hexdigest() for k in range(3000)]
+    o = spark.createDataFrame([(h,) for h in [*hashes, None]], "hash string")
+    ends = list(itertools.accumulate(free))
+    got = dict(map(tuple, G.replicas(o, c, 2, rack_aware=False).collect()))
+    first = {h: bisect.bisect_right(ends, _mixed(h, 16) % ends[-1]) for h in hashes}
+    assert got == {h: [p, (p + 1) % 4001] for h, p in first.items()} | {None: None}
+    got = dict(map(tuple, G.replicas(o, c, 1, primary=G.round_robin, rack_aware=False).collect()))
+    assert got == {h: [_mixed(h, 8) % 4001] for h in hashes} | {None: None}
+    assert time.monotonic() - start < 60  # the chains aren't walked once an object, which took minutes
+
+
+def _placed(spark, folder, name):
+    """What differs between a placement query and its SQL, with a document that stands twice and one without a text."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    odd = docs.limit(1).withColumns({"doc_id": F.lit(-1).cast("long"), "text": F.lit(None).cast("string")})
+    docs.union(docs.filter("doc_id < 3")).union(odd).write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet("/root/testdata/sf0.1/supplier.parquet").filter("s_suppkey <= 300").write.parquet(f"{folder}/supplier.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "supplier"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet/*.parquet')")
+    return oracle.same(registry.queries()[name](spark, str(folder)), con, registry.oracle_sql()[name])
+
+
+def test_placement_of_odd_documents(spark, tmp_path):
+    assert _placed(spark, tmp_path, "placement_capacity") == ""
+
+
 def test_formats():
     def archive(name, xml):
         b = io.BytesIO()
