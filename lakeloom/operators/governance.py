@@ -256,14 +256,18 @@ def capacity_aware(objects: DataFrame, chains: DataFrame) -> DataFrame:
 
 def _walks(racks: list | None, count: int, n: int) -> Iterator[list[int]]:
     """For each place, from the last to the first: n places from it on, in a circle; with racks, first the next place of each
-    rack, then the others."""
-    for p in range(count - 1, -1, -1):
-        if racks is None:
-            yield [(p + k) % count for k in range(min(n, count))]
-        else:
-            turned = [*range(p, count), *range(p)]
-            near = list({racks[x]: x for x in reversed(turned)}.values())
-            yield [*sorted(near, key=lambda x: (x - p) % count), *(x for x in turned if x not in near)][:n]
+    rack, then the others. Going backwards, the next places of the nearest n racks are a list to whose front each place moves."""
+    near: list[int] = []
+    for p in range(2 * count - 1 if racks else count - 1, -1, -1):
+        if racks:
+            near = [p % count, *(x for x in near if racks[x] != racks[p % count])][:n]
+        if p < count:
+            after = [(p + k) % count for k in range(min(n, count))]
+            yield [*near, *(x for x in after if x not in near)][:n]
+
+
+#: Chains whose replicas are listed in one batch.
+LISTED = 1 << 14
 
 
 def listed(chains: DataFrame, n: int, rack_aware: bool) -> DataFrame:
@@ -292,10 +296,6 @@ def listed(chains: DataFrame, n: int, rack_aware: bool) -> DataFrame:
     return ordered.mapInArrow(run, f"place int, upto decimal(38,0), replicas array<{field}>")
 
 
-#: Chains whose replicas are listed in one batch.
-LISTED = 1 << 14
-
-
 def replicas(objects: DataFrame, chains: DataFrame, n: int, primary=capacity_aware, rack_aware: bool = True) -> DataFrame:
     """objects (hash, ...) with replicas: ids of n chains (id, free, rack; in order of id), the primary first, then those after
     it; rack-aware, first one of each rack that isn't used yet, then the others. Which chains these are depends on the primary

@@ -227,7 +227,7 @@ def placement_capacity(s, d):
 @query(f"WITH {_PRIMARY}, t AS (SELECT path, id, rack, (i - ca + n) % n AS k FROM pc, ch), f AS (SELECT *, row_number() OVER (PARTITION BY path, rack ORDER BY k) AS nth FROM t), r AS (SELECT path, id, row_number() OVER (PARTITION BY path ORDER BY CAST(nth > 1 AS INT), k) AS place FROM f) SELECT path, string_agg(id, ',' ORDER BY place) AS replicas FROM r WHERE place <= 5 GROUP BY 1")
 def placement_rack_aware(s, d):
     out = G.replicas(files(s, d).select("path", "hash"), _chains(s, d), 5)
-    return out.select("path", F.array_join(F.transform("replicas", lambda x: x.cast("string")), ",").alias("replicas"))
+    return out.filter("size(replicas) > 0").select("path", F.array_join(F.transform("replicas", lambda x: x.cast("string")), ",").alias("replicas")).distinct()
 
 
 @query(f"WITH {_CHAINS} SELECT CAST(total AS DOUBLE) AS total FROM al")

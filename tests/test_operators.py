@@ -281,6 +281,32 @@ def test_placement_of_odd_documents(spark, tmp_path):
     assert _placed(spark, tmp_path, "placement_capacity") == ""
 
 
+def test_replicas_on_racks(spark):
+    start = time.monotonic()
+    racks = [None if k % 50 == 7 else k // 200 % 9 for k in range(3000)] + [k % 11 for k in range(1000)]
+    c = spark.createDataFrame([(f"c{k:05}", 1 + k % 5, r) for k, r in enumerate(racks)], "id string, free long, rack int").repartition(5)
+    o = spark.createDataFrame([(hashlib.sha256(str(k).encode()).hexdigest(),) for k in range(2000)], "hash string")
+    ends = list(itertools.accumulate(1 + k % 5 for k in range(4000)))
+    for n in (1, 5, 12, 20):
+        for h, got in G.replicas(o, c, n).collect():
+            p = bisect.bisect_right(ends, _mixed(h, 16) % ends[-1])
+            seen, first, rest = set(), [], []
+            for x in ((p + k) % 4000 for k in range(4000)):
+                (rest if racks[x] in seen else first).append(x)
+                seen.add(racks[x])
+                if len(first) >= n or len(seen) == 12 and len(first) + len(rest) >= n:
+                    break
+            assert got == [f"c{x:05}" for x in (first + rest)[:n]]
+    few = [(1, 1, 1), (2, 1, None), (3, 1, 1), (4, 1, None)]
+    got = G.replicas(o.limit(1).select(F.lit("0" * 64).alias("hash")), spark.createDataFrame(few, "id int, free long, rack int"), 9).first()
+    assert got["replicas"] == [1, 2, 3, 4]  # those without a rack share one, and none is left out
+    assert time.monotonic() - start < 90
+
+
+def test_replicas_of_odd_documents(spark, tmp_path):
+    assert _placed(spark, tmp_path, "placement_rack_aware") == ""
+
+
 def test_formats():
     def archive(name, xml):
         b = io.BytesIO()
