@@ -101,8 +101,8 @@ def extract_jsonl(s, d):
 # Sources and streams -------------------------------------------------------------------------------------------------
 @query("SELECT unnest(['benchmark', 'conversations', 'customer', 'documents', 'embeddings'])||'.parquet' AS name, true AS filled")
 def source_list_limited(s, d):
-    """The first five tables of the folder, in the order of their names."""
-    return K.list_files(s, d, 5).select("name", (F.col("size") > 0).alias("filled"))
+    """The first five tables of the folder, in the order of their names. A table is a file, or a folder of files."""
+    return K.list_files(s, d, 5, folders=True).select("name", (F.col("size") > 0).alias("filled"))
 
 
 @query("SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1")

@@ -8,6 +8,7 @@ import hashlib
 import io
 import itertools
 import json
+import shutil
 import time
 import zipfile
 
@@ -374,6 +375,26 @@ def entries(spark, *logs):
     return spark.createDataFrame(rows, "log long, ord long, ts long, event_type string, subject string, actor string, detail map<string,string>")
 
 
+def test_sources_that_are_folders(spark, tmp_path):
+    for n, size in (("b/part-0", 2), ("b/k=1/part-1", 3), ("a", 1), ("c", 7), ("d/part-0", 6), ("d/_SUCCESS", 4), ("_hidden/part-0", 9)):
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_bytes(b"x" * size)
+    found = K.list_files(spark, f"{tmp_path}/", folders=True).collect()
+    assert [(r["path"], r["name"], r["size"]) for r in found] == [(f"file:{tmp_path}/{n}", n, size) for n, size in (("a", 1), ("b", 5), ("c", 7), ("d", 6))]
+    assert [r["name"] for r in K.list_files(spark, str(tmp_path), 2, folders=True).collect()] == ["a", "b"]
+
+
+def test_tables_that_are_folders(spark, tmp_path):
+    """The first tables of a folder in which some are files, and some folders of several files."""
+    for n in oracle.TABLES:
+        if n in ("conversations", "documents", "embeddings", "labels", "pages"):
+            spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet").repartition(3).write.parquet(f"{tmp_path}/{n}.parquet")
+        else:
+            shutil.copy(f"/root/testdata/sf0.001/{n}.parquet", tmp_path)
+    q = registry.queries()["source_list_limited"]
+    assert oracle.same(q(spark, str(tmp_path)), duckdb.connect(), registry.oracle_sql()["source_list_limited"]) == ""
+
+
 def test_audit_chains(spark):
     import hashlib
 
